@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import load
+from . import linededup, mixing, packing, quality_zstd, simhash
+from .common import learning_share, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = learning_share("doc_id", 5, 0)
+    model = quality_zstd.fit(docs.where(~held_out), load(spark, sf_dir, "labels"))
+    scored = quality_zstd.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
@@ -20,10 +33,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality": op2_quality,
+        "op3_mixing": op3_mixing,
         "op4_simhash": op4_simhash,
         "op7_packing": op7_packing,
+        "op8_linededup": op8_linededup,
     }
 
 
