@@ -10,6 +10,7 @@ powers of two, which need no padding. A document that no sequence has room for i
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,17 +19,17 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 MAX_TOKENS = 2048
 END_ID = 1
 WINDOW_TOKENS = 2_000_000
 CACHED_WORDS = 600_000
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PART_BYTES = 4_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,52 +39,46 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids of whole texts, each distinct chunk of characters between ASCII blanks encoded once.
+    """Token ids of whole texts, each distinct word encoded once.
 
-    The tokenizer drops white space and never merges across it, so ids of a text are those of its chunks in order. A chunk of plain
-    Latin characters is taken apart further by the tokenizer's own pre-token pattern, so that a word with and without a comma
-    shares the work; such words are encoded together and told apart by the end-of-word mark of their last token. Any other
-    chunk goes through the tokenizer by itself. The caches start again when they hold `limit` chunks.
+    The tokenizer lower-cases, splits a text into pre-tokens and merges inside each by itself, so the ids of a text are those of its
+    pre-tokens in order. For texts of plain Latin characters (SAFE) Arrow makes the same split over a whole batch: blanks around
+    every mark, digit and contraction, then words between blanks. Only words not seen yet go through the tokenizer's model. A text
+    with any other character goes through the tokenizer as it is. The cache starts again when it holds `limit` words.
     """
 
+    #: Where NFC and the splits below do what the tokenizer does: no combining marks, odd blanks or special tokens.
+    UNSAFE = r"[^\t\n\x0b\f\r\x20-\x7E\x{A1}-\x{12F}\x{131}-\x{24F}]|<\|"
+    MARK = r"('s|'t|'re|'ve|'m|'ll|'d|[^\p{L}\p{N}\t\n\x0b\f\r\x20]+|\p{N})"
+
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.limit, self.words, self.chunks = limit, {}, {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = {c: _PRETOKEN.findall(c.lower()) for c in chunks if c.isprintable() and max(c) < "ɐ" and "<|" not in c}
-        fresh = sorted(set().union(*parts.values()).difference(self.words))
-        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(fresh):
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(fresh, ends.tolist()):
-                self.words[word] = raw[4 * begin : 4 * end]
-                begin = end
-        else:  # a word that is more than one pre-token
-            for word in fresh:
-                self.words[word] = self._alone(word)
-        for chunk in chunks:
-            own = parts.get(chunk)
-            self.chunks[chunk] = self._alone(chunk) if own is None else b"".join(map(self.words.__getitem__, own))
-
-    def _alone(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.limit, self.words = limit, {"": b""}
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250)}
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > self.limit:
+            self.words = {"": b""}
+        merge, spelled = self.tokenizer.model.tokenize, self.spelled
+        for word in words:
+            if word not in self.words:
+                ids = [token.id for token in merge(word.translate(spelled))]
+                self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One array of ids for each text; a null text has none."""
-        blank = pc.replace_substring_regex(pc.fill_null(texts, ""), "[\\t\\n\\r\\x0b\\x0c]", " ")
-        split = pc.split_pattern(blank, " ")
+        texts = pc.fill_null(texts, "")
+        unsafe = pc.match_substring_regex(texts, self.UNSAFE)
+        plain = pc.utf8_lower(pc.if_else(unsafe, "", texts))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, self.MARK, r" \1 "))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.chunks) > self.limit:
-            self.chunks, self.words = {"": b""}, {}
-        if missing := [c for c in chunks if c not in self.chunks]:
-            self._learn(missing)
-        ids = [self.chunks[c] for c in chunks]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        try:
+            ids = list(map(self.words.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            ids = list(map(self.words.__getitem__, words))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
         index = coded.indices.to_numpy()
@@ -91,7 +86,10 @@ class WordEncoder:
         stops = np.concatenate([[0], np.cumsum(own)])
         joined = flat[np.repeat(starts[index] - stops[:-1], own) + np.arange(stops[-1])]
         bounds = stops[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
-        return [joined[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        out = [joined[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -171,8 +169,9 @@ def pack(
         words = encoder(path)
         base, window, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            step = max(1, batch.num_rows * PART_BYTES // max(PART_BYTES, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                     window.append((doc, np.append(ids, np.uint32(end_id))))
                     held += len(ids) + 1
