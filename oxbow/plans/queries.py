@@ -282,7 +282,7 @@ def parent_link(spark, sf_dir):
     return tree.parent_links(tree.with_directories(T.parts(spark, sf_dir))).select("path", "is_dir", "has_parent")
 
 
-@register(f"SELECT path, {PARENT} AS parent, {NAME} AS name, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth FROM {_DIRS.format(PAGES)}")
+@register(f"SELECT path, {PARENT} AS parent, {NAME} AS name, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth FROM {_DIRS.format(PAGES)} WHERE path NOT IN (SELECT path FROM {PAGES})")
 def dir_synthesis(spark, sf_dir):
     return tree.directories(T.pages(spark, sf_dir))
 
@@ -604,7 +604,7 @@ def ontology_tags(spark, sf_dir):
 
 
 @register(
-    f"""SELECT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f KB', size_bytes / 1024.0) END AS shown FROM {DOCS}
+    f"""SELECT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f KB', floor(size_bytes / 102.4 + 0.5) / 10) END AS shown FROM {DOCS}
     WHERE size_bytes < 1048576"""
 )
 def display_bytes(spark, sf_dir):
