@@ -2,7 +2,8 @@
 
 One zstandard dictionary is built from well labelled texts and one from badly labelled texts. A text is compressed chunk by chunk
 with both (chunks keep the dictionaries relevant however long the text is); the difference of the compressed sizes, divided by the
-text's bytes, is the margin. A logistic curve fitted on other labelled texts turns margins into probabilities.
+text's bytes, is the margin. A curve fitted on other labelled texts turns margins into probabilities: isotonic steps, joined by lines,
+with a little of a logistic curve so that equal steps still rank.
 
 Learning uses bounded samples, drawn by a hash of the id: DICTIONARY_DOCS texts a class for the dictionaries (of at most
 DICTIONARY_TEXT characters each) and CALIBRATION_DOCS texts for the curve. Scoring covers every whole text, in one pass that
@@ -29,16 +30,26 @@ SAMPLES_PER_TEXT = 4
 CHUNK_BYTES = 1024
 LEVEL = 3
 THRESHOLD = 0.3
+SMOOTH = 0.05
+LEAST_BLOCK = 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries and the logistic curve score = 1 / (1 + exp(-(slope * margin + intercept)))."""
+    """Both dictionaries, the logistic curve 1 / (1 + exp(-(slope * margin + intercept))), and the steps (margin, probability)."""
 
     good: bytes
     bad: bytes
     slope: float
     intercept: float
+    steps: tuple[tuple[float, float], ...] = ()
+
+    def calibrate(self, margins: np.ndarray) -> np.ndarray:
+        smooth = 1 / (1 + np.exp(-np.clip(self.slope * margins + self.intercept, -30, 30)))
+        if not self.steps:
+            return smooth
+        at, value = zip(*self.steps)
+        return (1 - SMOOTH) * np.interp(margins, at, value) + SMOOTH * smooth
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
@@ -71,17 +82,42 @@ def margin(text: bytes | None, good: zstandard.ZstdCompressor | None, bad: zstan
     return saved / (len(text) + 1)
 
 
-def _margins(texts: F.Column, good: bytes, bad: bytes) -> F.Column:
+def _margins(texts: F.Column, good: bytes, bad: bytes, calibrate=None) -> F.Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with_good, with_bad = compressor(good), compressor(bad)
         for batch in batches:
-            yield pd.Series([margin(t, with_good, with_bad) for t in batch], dtype="float64")
+            found = np.array([margin(t, with_good, with_bad) for t in batch], dtype="float64")
+            yield pd.Series(calibrate(found) if calibrate else found)
 
     # The annotations must be real types for the UDF to be recognised as one over iterators.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, T.DoubleType())(texts.cast("binary"))
 
 
+def _scores(texts: F.Column, model: Model) -> F.Column:
+    return _margins(texts, model.good, model.bad, model.calibrate)
+
+
+def fit_steps(margins: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, float], ...]:
+    """Isotonic regression by pooling adjacent violators, then neighbours until a block has LEAST_BLOCK rows; each block is drawn to
+    the overall rate by one row's weight."""
+    blocks: list[list[float]] = []  # rows, sum of labels, sum of margins
+    for m, y in sorted(zip(margins.tolist(), labels.tolist())):
+        blocks.append([1, y, m])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            n, total, place = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + total, blocks[-1][2] + place]
+    pooled: list[list[float]] = []
+    for block in blocks:
+        if pooled and (pooled[-1][0] < LEAST_BLOCK or block is blocks[-1] and block[0] < LEAST_BLOCK):
+            pooled[-1] = [a + b for a, b in zip(pooled[-1], block)]
+        else:
+            pooled.append(block)
+    blocks, rate = pooled, float(labels.mean())
+    values = np.maximum.accumulate([(total + rate) / (n + 1) for n, total, _ in blocks])
+    return tuple((place / n, float(v)) for (n, _, place), v in zip(blocks, values))
+
+
 def fit_curve(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Logistic regression on one input by Newton steps, lightly held towards no slope so that it stays finite."""
     if len(labels) == 0:
@@ -134,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(set(marks)) < 2:
         rate = min(max(marks.mean() if len(marks) else 0.5, 0.01), 0.99)
         return Model(good, bad, 0.0, float(np.log(rate / (1 - rate))))
-    return Model(good, bad, *fit_curve(values, marks))
+    return Model(good, bad, *fit_curve(values, marks), fit_steps(values, marks))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -142,14 +178,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     Null and empty texts get the curve's value at margin 0; every row is kept, repeated ones too; an empty table stays empty.
     """
-    m = _margins(F.col(text_col), model.good, model.bad)
-    value = 1.0 / (1.0 + F.exp(-(F.lit(model.slope) * m + F.lit(model.intercept))))
-    return docs.withColumn("score", value).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.withColumn("score", _scores(F.col(text_col), model))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` predicted good, with their own columns."""
-    m = _margins(F.col(text_col), model.good, model.bad)
-    value = 1.0 / (1.0 + F.exp(-(F.lit(model.slope) * m + F.lit(model.intercept))))
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), value.alias("__score"))
+    marked = docs.select(F.struct(*docs.columns).alias("__row"), _scores(F.col(text_col), model).alias("__score"))
     return marked.where(F.col("__score") >= threshold).select("__row.*")
