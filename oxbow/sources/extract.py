@@ -112,6 +112,52 @@ def _npy_header(data: bytes) -> dict:
     return {"shape": list(header["shape"]), "dtype": header["descr"], "fortran_order": header["fortran_order"]}
 
 
+def _h5(path: str, read: Callable) -> dict:
+    """What `read` finds in an HDF5 file; nothing where the optional library is missing."""
+    try:
+        import h5py
+    except ImportError:
+        return {}
+    with h5py.File(path, "r") as f:
+        return read(f)
+
+
+@register("hdf5", "h5", "hdf5")
+def hdf5(path: str) -> dict:
+    def read(f) -> dict:
+        shapes = {}
+        for name, item in f.items():
+            for path, leaf in [(name, item), *((f"{name}/{k}", v) for k, v in (item.items() if hasattr(item, "items") else ()))]:
+                if hasattr(leaf, "shape"):
+                    shapes[path] = list(leaf.shape)
+        return {"top_level_groups": list(f), "datasets": shapes}
+
+    return _h5(path, read)
+
+
+@register("h5ad", "h5ad")
+def annotated_matrix(path: str) -> dict:
+    """Shape, column names and keys of an annotated matrix, from attributes and keys alone."""
+
+    def read(f) -> dict:
+        names = lambda key: [c.decode() if isinstance(c, bytes) else str(c) for c in f[key].attrs.get("column-order", [])] if key in f else []
+        keys = lambda key: list(f[key]) if key in f else []
+        shapes = lambda key: {k: list(v.shape) if hasattr(v, "shape") else None for k, v in f[key].items()} if key in f else {}
+        x = f.get("X")
+        shape = list(x.shape) if hasattr(x, "shape") else list(x.attrs.get("shape", [])) if x is not None else []
+        n_obs, n_vars = (int(v) for v in shape) if len(shape) == 2 else (None, None)
+        values = x["data"] if x is not None and not hasattr(x, "shape") and "data" in x else x
+        return {
+            "n_obs": n_obs, "n_vars": n_vars, "X_encoding": x is not None and str(x.attrs.get("encoding-type", "array")) or None,
+            "X_dtype": str(values.dtype) if hasattr(values, "dtype") else None,
+            "obs_index": str(f["obs"].attrs.get("_index", "")) if "obs" in f else None, "obs_columns": names("obs"), "var_columns": names("var"),
+            "n_var_columns": len(names("var")), "obsm": shapes("obsm"), "varm": shapes("varm"), "layers": keys("layers"), "obsp": keys("obsp"),
+            "uns_keys": keys("uns"), "has_raw": "raw" in f,
+        }
+
+    return _h5(path, read)
+
+
 @register("npy", "npy", "npz")
 def arrays(path: str) -> dict:
     if not path.endswith(".npz"):

@@ -162,3 +162,16 @@ def test_deferral(spark):
     owners = spark.createDataFrame([("a", True, second(10), second(3)), ("a/x", False, second(5), None), ("c", False, second(9), None)], "root string, subtree boolean, lease_until timestamp, retired_at timestamp")
     found = {(r.ts.second, r.path): (r.drain_at.second, r.drain_at.microsecond) for r in live.defer(events, owners).collect()}
     assert found == {(1, "a/x"): (5, 500000), (1, "b"): (1, 0), (9, "a/x"): (9, 0), (1, "c/d"): (1, 0)}
+
+
+def test_detail(spark):
+    from oxbow.operators import detail
+
+    rows = spark.createDataFrame(
+        [("t.csv", '{"columns":["a","b"],"row_count_reason":"size_gated"}'), ("p.parquet", '{"columns":[{"name":"k","type":"int64"}]}')], "path string, meta string"
+    )
+    edges = spark.createDataFrame([("d.md", "t.csv", "doc_ref"), ("t.csv", "p.parquet", "x")], "src string, dst string, kind string")
+    one = detail.entry(rows, edges, "t.csv").first()
+    assert (one.column_names, one.refs, one.ref_by, one.dangling) == (["a", "b"], ["p.parquet"], ["d.md"], ["d.md"])
+    assert one.row_count_note.startswith("not counted") and detail.entry(rows, edges, "p.parquet").first().column_names == ["k"]
+    assert detail.entry(rows, edges, "absent").count() == 0
