@@ -67,12 +67,12 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(_bind(_bind(hashed, windows), covered))
 
 
-def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with a struct column __base: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts.
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, __base) for each row of `docs`, materialised, since learning reads it several times.
 
-    Words are runs of characters other than 0x20 and 0x09 to 0x0D; null texts have none. Windows are compared by 64-bit hashes.
+    __base has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts of the whole text. Words are runs of characters other than 0x20 and 0x09 to 0x0D; null texts have none. Windows are compared by 64-bit hashes.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANK_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
 
@@ -93,7 +93,8 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             number(MARKS).alias("n_marks"),
         )
 
-    return docs.withColumn("__base", _bind(F.struct(text.alias("text"), words.alias("words")), counts))
+    base = _bind(F.struct(text.alias("text"), words.alias("words")), counts)
+    return cut(docs.select(F.col(id_col).alias("doc_id"), base.alias("__base")))
 
 
 def statistics() -> dict[str, Column]:
@@ -221,15 +222,14 @@ def learn(
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> list[Rule]:
-    """Learn from all rows of `labels` (id, 0 or 1) whose documents are in `docs`; other labels are ignored.
+def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
+    """Learn from all rows of `labels` (id, 0 or 1) whose documents are in `measured` (see `measure`); other labels are ignored.
 
     An id labelled more than once counts with its smallest label. Half of the rows, by a hash of the id, judge the rules.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    measured = base_statistics(docs.select(F.col(id_col).alias("__doc"), F.col(text_col)), text_col)
-    rows = measured.select("__doc", *(c.alias(s) for s, c in statistics().items()))
-    rows = rows.join(known, rows["__doc"] == known["__id"])
+    rows = measured.select("doc_id", *(c.alias(s) for s, c in statistics().items()))
+    rows = rows.join(known, rows["doc_id"] == known["__id"])
     return learn(rows.select(*STATISTICS, (F.col("__label") == 0).alias("bad"), (F.xxhash64("__id") % 2 == 0).alias("prune")))
 
 
@@ -238,13 +238,12 @@ def base_failed() -> Column:
     return (b("n_words") < LEAST_WORDS) | (100 * b("n_repeat_words") > MOST_REPEATED * b("n_words"))
 
 
-def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of `docs`: its id, base statistics, base_failed, kept.
+def judge(measured: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each row of `measured` (see `measure`): doc_id, base statistics, base_failed, kept.
 
     kept is false if the base rule fails, else the decision list's verdict. Null and empty texts have no words and fail;
-    repeated rows stay; other columns are ignored; an empty table stays empty.
+    repeated rows stay; an empty table stays empty.
     """
-    measured = base_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), "__text")
     named = measured.select("doc_id", "__base", base_failed().alias("base_failed"), *(c.alias(s) for s, c in statistics().items()))
     return named.select(
         "doc_id",

@@ -64,9 +64,9 @@ FROM c GROUP BY conv_id
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    rules = quality_rules.fit(docs, load(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules)
+    measured = quality_rules.measure(load(spark, sf_dir, "documents"))
+    rules = quality_rules.fit(measured, load(spark, sf_dir, "labels"))
+    return quality_rules.judge(measured, rules)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

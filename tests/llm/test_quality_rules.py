@@ -31,7 +31,7 @@ def texts():
 
 def test_statistics_equal_brute_force(spark):
     rows = [(i, t, "x", "y", "z") for i, t in enumerate(texts())]
-    found = R.judge(spark.createDataFrame(rows, SCHEMA), []).collect()
+    found = R.judge(R.measure(spark.createDataFrame(rows, SCHEMA)), []).collect()
     for r in found:
         want = brute(rows[r.doc_id][1])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
@@ -58,16 +58,17 @@ def test_learns_ordered_rules(spark):
     docs, labels = corpus()
     frame = spark.createDataFrame(docs, SCHEMA)
     marks = spark.createDataFrame([*labels, (5000, 0), (3, None), (None, 1)], "doc_id long, quality int")
-    rules = R.fit(frame, marks)
-    assert 2 <= len(rules) <= R.MAX_RULES and rules == R.fit(frame.repartition(3), marks)
+    measured = R.measure(frame)
+    rules = R.fit(measured, marks)
+    assert 2 <= len(rules) <= R.MAX_RULES and rules == R.fit(R.measure(frame.repartition(3)), marks)
     assert {c.statistic for r in rules for c in r.conditions} & {"upper_share"} and all("THEN bad" in str(r) for r in rules)
-    found = R.judge(frame, rules).collect()
+    found = R.judge(measured, rules).collect()
     assert sum(r.kept == (r.doc_id % 5 > 1) for r in found) >= 0.98 * len(found)
 
 
 def test_nothing_to_learn(spark):
     docs, labels = corpus(30)
-    frame = spark.createDataFrame(docs, SCHEMA)
+    frame = R.measure(spark.createDataFrame(docs, SCHEMA))
     assert R.fit(frame, spark.createDataFrame([], "doc_id long, quality int")) == []
     assert R.fit(frame, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")) == []
     assert R.fit(frame.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")) == []
@@ -77,9 +78,9 @@ def test_nothing_to_learn(spark):
 def test_accuracy_on_the_table(spark, data):
     data = data.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    rules = R.fit(docs.where("doc_id % 2 = 0"), labels)
+    rules = R.fit(R.measure(docs.where("doc_id % 2 = 0")), labels)
     truth = {r.doc_id: r.quality for r in labels.collect()}
-    found = [r for r in R.judge(docs.where("doc_id % 2 = 1"), rules).collect() if r.doc_id in truth and not r.base_failed]
+    found = [r for r in R.judge(R.measure(docs.where("doc_id % 2 = 1")), rules).collect() if r.doc_id in truth and not r.base_failed]
     good = [r for r in found if truth[r.doc_id]]
     assert sum(r.kept for r in good) >= 0.97 * len(good)
     assert sum(r.kept == bool(truth[r.doc_id]) for r in found) >= 0.93 * len(found)
