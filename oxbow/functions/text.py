@@ -12,20 +12,26 @@ from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Extension to category, as users of the catalogue know them; anything else is "other".
+# Extensions by category; anything else is "other".
 CATEGORIES = {
-    "data_matrix": ["h5ad", "h5", "hdf5", "loom", "npy", "npz", "mtx", "zarr"],
-    "data_table": ["csv", "tsv", "csv.gz", "tsv.gz", "parquet", "xlsx", "xlsm", "feather"],
-    "figure": ["png", "jpg", "jpeg", "svg", "tif", "tiff", "gif"],
+    "code": ["py", "r", "sh", "cpp", "c"],
+    "data_matrix": ["h5ad", "h5", "npy", "npz", "loom"],
+    "data_table": ["csv", "tsv", "csv.gz", "tsv.gz", "parquet", "xlsx", "xlsm"],
+    "config": ["yaml", "yml", "toml", "json", "ini"],
+    "doc": ["md", "txt", "rst"],
+    "notebook": ["ipynb"],
+    "figure": ["png", "svg", "jpg", "jpeg"],
     "figure_pdf": ["pdf"],
-    "code": ["py", "r", "sh", "js", "ts", "rs", "c", "cpp", "sql"],
-    "notebook": ["ipynb", "rmd", "qmd"],
-    "doc": ["md", "txt", "rst", "docx", "html"],
-    "config": ["yaml", "yml", "toml", "json", "ini", "cfg"],
+    "model": ["pkl", "pt", "pth", "joblib", "model", "rds", "onnx"],
     "log": ["log", "out", "err"],
-    "archive": ["gz", "tgz", "zip", "tar", "bz2", "xz"],
-    "model": ["pt", "pth", "pkl", "joblib", "onnx"],
+    "archive": ["gz", "tgz", "zip", "tar"],
 }
+# Default tags as (pattern, tag).
+TAGS = [
+    ("d70", "d70"), ("d100", "d100"), ("pasca_hcs", "pasca_hcs"), ("qian", "qian"), ("braun", "braun"), ("hnoca", "hnoca"),
+    ("phase3", "phase3"), ("phase4", "phase4"), ("cascade_v3", "cascade_v3"), ("popv_v4", "popv_v4"), ("popv_v5", "popv_v5"),
+    (r"leiden_2\.0|legacy|stale|_archived", "legacy"), (r"leiden_cosine_2\.0|important_assets", "canonical"),
+]
 COMPOUND_EXTENSIONS = ["csv.gz", "tsv.gz"]
 
 

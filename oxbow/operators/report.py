@@ -10,7 +10,7 @@ from ..functions.text import human_bytes
 from .facets import facets, largest, summary
 
 # Parts of column names that usually hold labels, and the list lengths of the report.
-LABEL_PARTS = ["cell_type", "celltype", "leiden", "louvain", "cluster", "annot", "label", "condition", "batch", "sample"]
+LABEL_PARTS = ["leiden", "label", "type", "annotation"]
 LARGEST, LISTED, ITEMS = 25, 200, 12
 
 

@@ -25,7 +25,7 @@ COLUMNS = [
 ]
 
 
-def derive(entries: DataFrame, tags: list[tuple[str, str]] = (), columns: bool = True, figure_text: bool = True) -> DataFrame:
+def derive(entries: DataFrame, tags: list[tuple[str, str]] = tuple(X.TAGS), columns: bool = True, figure_text: bool = True) -> DataFrame:
     """Catalogue rows from entries: names, keys and folded text are stored, so that searches reach the Parquet scan.
 
     Figure text moves from `meta` to a column of its own. Without `columns` long column lists leave `meta`; their counts stay.
@@ -43,7 +43,7 @@ def derive(entries: DataFrame, tags: list[tuple[str, str]] = (), columns: bool =
     ).select(*COLUMNS)
 
 
-def build(spark: SparkSession, root: str, prior: DataFrame | None = None, reference: float | None = None, tags=(), **options) -> DataFrame:
+def build(spark: SparkSession, root: str, prior: DataFrame | None = None, reference: float | None = None, tags=tuple(X.TAGS), **options) -> DataFrame:
     """The catalogue of a tree. Files that `prior` describes and that have not changed since are not opened again."""
     files = walk(spark, root, **{k: v for k, v in options.items() if k not in ("columns", "figure_text")})
     toggles = {k: v for k, v in options.items() if k in ("columns", "figure_text")}

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Size gates in bytes.
-HEADER, PARSED, COUNTED, COUNTED_GZ, DRAWN = 1_000_000, 5_000_000, 100_000_000, 25_000_000, 20_000_000
+HEADER, PARSED, COUNTED, COUNTED_GZ, DRAWN = (n << 20 for n in (1, 5, 100, 25, 20))
 
 Reader = Callable[[str], dict]
 _READERS: dict[str, tuple[str, Reader]] = {}

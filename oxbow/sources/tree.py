@@ -24,7 +24,10 @@ from ..functions import text as X
 
 SCHEMA = "path string, size_bytes long, mtime_s double, is_symlink boolean, symlink_target string, symlink_ok boolean, error string"
 # Folders that are never entered, and names that never count.
-PRUNED = [".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", ".ipynb_checkpoints", ".mypy_cache", ".pytest_cache", "_vendor"]
+PRUNED = [
+    "_vendor", "__pycache__", ".pytest_cache", ".git", "site-packages", "node_modules", ".venv", "venv", ".mypy_cache",
+    ".ipynb_checkpoints", ".ruff_cache", ".eggs", "build", "dist", ".cache",
+]
 SKIPPED_PREFIXES = ["._"]
 SKIPPED_NAMES = [".DS_Store"]
 
