@@ -20,7 +20,8 @@ SHARE = 1.5
 MOST = 2
 SEED = 42
 RESERVE = 4096
-_BUCKETS = 256
+#: Plans of up to so many (source, length) pairs, about 60 bytes each, are broadcast to the documents.
+BROADCAST_ROWS = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -145,6 +146,8 @@ def mix(
             F.col("source").alias("of"), "plan_size", "source_size", "target", "n", "whole", "extra"
         )
     )
+    # Lengths and sources are few beside documents; where they are not, the join shuffles.
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("plan_size"))).drop("of")
     rows = rows.withColumn("at", F.xxhash64(F.lit(seed), F.col("doc_id")))
     settled = rows.where("extra = 0 or extra = n").withColumn("picked", (F.col("extra") > 0).cast("int"))
