@@ -3,7 +3,7 @@
 One zstandard dictionary is built from well labelled texts and one from badly labelled texts. A text is compressed chunk by chunk
 with both (chunks keep the dictionaries relevant however long the text is); the difference of the compressed sizes, divided by the
 text's bytes, is the margin. A curve fitted on other labelled texts turns margins into probabilities: isotonic steps, joined by lines,
-with a little of a logistic curve so that equal steps still rank.
+with a little of a logistic curve so that equal steps still rank (with few labels, the logistic curve alone).
 
 Learning uses bounded samples, drawn by a hash of the id: DICTIONARY_DOCS texts a class for the dictionaries (of at most
 DICTIONARY_TEXT characters each) and CALIBRATION_DOCS texts for the curve. Scoring covers every whole text, in one pass that
@@ -32,6 +32,7 @@ LEVEL = 3
 THRESHOLD = 0.3
 SMOOTH = 0.05
 LEAST_BLOCK = 20
+LEAST_FOR_STEPS = 50  # calibration texts of either class
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(set(marks)) < 2:
         rate = min(max(marks.mean() if len(marks) else 0.5, 0.01), 0.99)
         return Model(good, bad, 0.0, float(np.log(rate / (1 - rate))))
-    return Model(good, bad, *fit_curve(values, marks), fit_steps(values, marks))
+    enough = min(marks.sum(), (1 - marks).sum()) >= LEAST_FOR_STEPS
+    return Model(good, bad, *fit_curve(values, marks), fit_steps(values, marks) if enough else ())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -53,3 +53,26 @@ def test_registered_queries_equal_duckdb(spark, data):
         got, want = queries.queries()[name](spark, data).toPandas(), con.sql(sql).df()
         columns = sorted(want.columns)
         assert sorted(map(repr, got[columns].itertuples(index=False, name=None))) == sorted(map(repr, want[columns].itertuples(index=False, name=None)))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, fp string, kept string, copies string"
+
+
+def test_stages_take_odd_rows(spark, data):
+    words = "plain words that make up a line of text which is long enough to be compared with others in this test"
+    rows = [
+        (1, words, "en", "a", 10), (2, words, None, None, None), (3, None, None, "a", None), (4, "", "en", "b", 0), (5, " \n\n ", "en", "b", 4),
+        (None, words + " and more", "en", None, 5), (6, "x " * 60_000, "en", "a", 120_000), (7, words.replace("plain", "plein"), "en", "a", 1),
+        (1, words, "en", "a", 10), (8, "é🙂 \x00 " + words[::-1], "fr", "c", 3),
+    ]
+    docs = spark.createDataFrame([(*r, "s", "t", "u", "v", "w") for r in rows], ODD)
+    outs = {name: stage(spark, docs, data) for name, stage in pipeline.STAGES}
+    for name, out in outs.items():
+        if name != "packing":
+            assert out.columns == docs.columns
+    assert outs["line dedup"].count() == len(rows)
+    assert {r.doc_id for r in outs["simhash near-dedup"].collect()} >= {1, 3, 6, 8}
+    assert outs["quality classifier"].count() <= len(rows) and outs["source mixing"].count() > 0
+    assert outs["packing"].where("start = 0").count() == len(rows)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0
