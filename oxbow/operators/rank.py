@@ -40,7 +40,8 @@ def boundary(name: Column, tokens: list[str]) -> Column:
 def tree_rows(catalog: DataFrame, search: Search, found_elsewhere: DataFrame | None = None) -> DataFrame:
     """Files that pass the filters and hold every token in their path, or whose path is in `found_elsewhere` (path)."""
     passing = catalog.where(condition(Search([], search.filters), "ui"))
-    in_path = reduce(and_, (has(ascii_fold(F.col("path")), t) for t in search.free), F.lit(True))
+    path = F.col("path_fold") if "path_fold" in passing.columns else ascii_fold(F.col("path"))
+    in_path = reduce(and_, (has(path, t) for t in search.free), F.lit(True))
     if found_elsewhere is None:
         return passing.where(in_path)
     marks = found_elsewhere.select("path", F.lit(True).alias("__found")).distinct()
@@ -76,7 +77,7 @@ def top_hits(
     """
     tokens = search.free
     files = with_name(catalog).where(condition(Search([], search.filters), "ui"))
-    name, path = ascii_fold(F.col("name")), ascii_fold(F.col("path"))
+    name, path = ascii_fold(F.col("name")), F.col("path_fold") if "path_fold" in files.columns else ascii_fold(F.col("path"))
     tier = tier_of(name, path, tokens)
     if tokens and found_elsewhere is not None:
         marks = found_elsewhere.select("path", F.lit(3).alias("__tier")).distinct()

@@ -5,6 +5,7 @@ Three dialects differ in what a prefixed word means (`sql`: the indexed search,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -92,16 +93,25 @@ def has(text: Column, token: str) -> Column:
     return F.contains(text, F.lit(token))
 
 
-def condition(search: Search, dialect: str = "sql", figure_text: bool = False, categories: str | None = None) -> Column:
-    """The predicate of a search. Tokens and kinds combine with AND, values of a kind with OR, except that category values
+def condition(
+    search: Search, dialect: str = "sql", figure_text: bool = False, categories: str | None = None, stored: Iterable[str] = ()
+) -> Column:
+    """The predicate of a search. `stored` names columns at hand: with haystack and path_fold among them, `sql` and `ui` predicates
+    are plain `contains` on those, which reach the Parquet scan. Tokens and kinds combine with AND, values of a kind with OR, except that category values
     combine with AND in `sql`, and so do the scoped substrings; `categories` ("or" or "and") overrides that."""
     fold = F.lower if dialect == "page" else ascii_fold
-    hay = haystack(dialect, figure_text) if search.free else None
+    path = F.col("path_fold") if "path_fold" in stored and dialect != "page" else fold(F.col("path"))
+    hay = None
+    if search.free and dialect == "sql" and "haystack" in stored:
+        more = [ascii_fold(F.coalesce("figure_text", F.lit("")))] * figure_text
+        hay = F.concat_ws(" ", "haystack", *more) if more else F.col("haystack")
+    elif search.free:
+        hay = haystack(dialect, figure_text)
     parts = [has(hay, token) for token in search.free]
     together = {"and": and_, "or": or_}[categories or ("and" if dialect == "sql" else "or")]
     scope = {
-        "path": lambda: fold(F.col("path")),
-        "dir": lambda: fold(parent_of(F.col("path")) if dialect == "page" else F.col("path")),
+        "path": lambda: path,
+        "dir": lambda: fold(parent_of(F.col("path"))) if dialect == "page" else path,
         "obs": lambda: F.lower(F.array_join(strings_at(F.col("meta"), "obs_columns"), " "))
         if dialect == "page"
         else ascii_fold(F.coalesce("meta", F.lit(""))),
@@ -125,7 +135,7 @@ def search(catalog: DataFrame, text: str, dialect: str = "sql", figure_text: boo
     files = catalog.where(~F.col("is_dir")) if "is_dir" in catalog.columns else catalog
     if parsed.empty:
         return files.limit(0) if dialect == "sql" and text.strip() else files
-    return files.where(condition(parsed, dialect, figure_text, categories))
+    return files.where(condition(parsed, dialect, figure_text, categories, catalog.columns))
 
 
 def search_ids(catalog: DataFrame, tokens: list[str], exts: list[str] = (), cats: list[str] = (), figure_text: bool = False) -> DataFrame:
@@ -138,7 +148,7 @@ def search_ids(catalog: DataFrame, tokens: list[str], exts: list[str] = (), cats
     own = ascii_fold(F.coalesce("figure_text", F.lit("")))
     via = reduce(and_, (has(own, t) for t in wanted.free)) if figure_text else F.lit(False)
     files = catalog.where(~F.col("is_dir")) if "is_dir" in catalog.columns else catalog
-    return files.where(condition(wanted, "sql", figure_text, "or")).select("path", via.alias("via_figure_text"))
+    return files.where(condition(wanted, "sql", figure_text, "or", catalog.columns)).select("path", via.alias("via_figure_text"))
 
 
 def filter_files(

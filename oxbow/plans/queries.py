@@ -11,6 +11,7 @@ from ..functions import meta as M
 from ..functions import text as X
 from ..operators import delta, digest, facets, journal, lineage, rank, search, tree
 from ..sources import tables as T
+from ..sources.catalogue import lean
 from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,14 +81,14 @@ def filter_ext_union(spark, sf_dir):
     return search.search(T.parts(spark, sf_dir), "ext:CSV ext:png").select("path", "ext")
 
 
-@register(f"SELECT path FROM {PART} WHERE contains({FOLD.format('category')}, 'brass') OR contains({FOLD.format('category')}, 'steel')")
+@register(f"SELECT path FROM {PART} WHERE contains({FOLD.format('category')}, 'promo') OR contains({FOLD.format('category')}, 'small')")
 def filter_cat_or(spark, sf_dir):
-    return search.search(T.parts(spark, sf_dir), "cat:brass type:steel", "ui").select("path")
+    return search.search(T.parts(spark, sf_dir), "cat:promo type:small", "ui").select("path")
 
 
-@register(f"SELECT path FROM {PART} WHERE contains({FOLD.format('category')}, 'brass') AND contains({FOLD.format('category')}, 'o')")
+@register(f"SELECT path FROM {PART} WHERE contains({FOLD.format('category')}, 'promo') AND contains({FOLD.format('category')}, 'o')")
 def filter_cat_and(spark, sf_dir):
-    return search.search(T.parts(spark, sf_dir), "cat:brass cat:o").select("path")
+    return search.search(T.parts(spark, sf_dir), "cat:promo cat:o").select("path")
 
 
 @register(f"SELECT path FROM {PART} WHERE contains({FOLD.format('path')}, 'brand#1') AND contains({FOLD.format('path')}, 'part_7')")
@@ -157,6 +158,34 @@ def search_ids_figure_text(spark, sf_dir):
     return search.search_ids(T.parts(spark, sf_dir).withColumn("figure_text", F.col("category")), ["O"], ["png"], (), True)
 
 
+@register(f"SELECT path, 'x' || path AS shown FROM {PART} WHERE contains({FOLD.format('path')}, 'promo') AND contains({HAY}, 'brand#3')")
+def search_stored_columns(spark, sf_dir):
+    parts = T.parts(spark, sf_dir).withColumns({"path_fold": X.ascii_fold(F.col("path")), "haystack": search.haystack()})
+    found = search.search(parts, "path:PROMO Brand#3")
+    return found.select("path", F.concat(F.lit("x"), "path").alias("shown"))
+
+
+@register(
+    f"""SELECT path, CAST(least(len(r), 2) AS INTEGER) AS n_kept, CAST(len(r) AS INTEGER) AS n_total
+    FROM (SELECT path, regexp_extract_all(html, 'href="([^"]*)"', 1) AS r FROM {PAGES})"""
+)
+def lean_projection(spark, sf_dir):
+    rows = lean(T.pages(spark, sf_dir), 2, ("outbound_refs",))
+    return rows.select("path", F.size("outbound_refs").alias("n_kept"), F.col("n_outbound_refs_total").alias("n_total"))
+
+
+@register(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a/c' WHEN event_id % 3 = 1 THEN '../x' ELSE 'b' END AS collapsed,
+    regexp_full_match('d/f' || event_id || '.csv', '(?s)d/f[12].*\.cs.') AS globbed FROM events"""
+)
+def path_collapse_and_glob(spark, sf_dir):
+    k = F.col("event_id")
+    raw = F.when(k % 3 == 0, "a/./b/../c").when(k % 3 == 1, "a/../../x").otherwise(".//b/")
+    name = F.concat(F.lit("d/f"), k.cast("string"), F.lit(".csv"))
+    rows = T.read(spark, sf_dir, "events")
+    return rows.select("event_id", lineage.collapse(raw).alias("collapsed"), name.rlike(X.glob_to_regex("d/f[12]*.cs?")).alias("globbed"))
+
+
 # Ranking
 
 _TIER = "CASE WHEN contains({n}, '1') AND contains({n}, '2') THEN 1 WHEN contains({p}, '1') AND contains({p}, '2') THEN 2 END".format(
@@ -361,13 +390,13 @@ _ABOVE = "[d FOR d IN [array_to_string(list_slice(string_split(path, '/'), 1, n)
 
 
 @register(
-    f"""WITH hits AS (SELECT *, coalesce(list_extract({_ABOVE} IF contains({FOLD.format("list_extract(string_split(d, '/'), -1)")}, 'brass')], 1), {PARENT}) AS dir
+    f"""WITH hits AS (SELECT *, coalesce(list_extract({_ABOVE} IF contains({FOLD.format("list_extract(string_split(d, '/'), -1)")}, 'promo')], 1), {PARENT}) AS dir
       FROM {PART}), g AS (SELECT dir, count(*) AS n FROM hits GROUP BY dir)
-    SELECT dir, n, CAST(CASE WHEN {FOLD.format("list_extract(string_split(dir, '/'), -1)")} = 'brass' THEN 0
-      WHEN contains({FOLD.format("list_extract(string_split(dir, '/'), -1)")}, 'brass') THEN 1 ELSE 2 END AS INTEGER) AS relevance FROM g"""
+    SELECT dir, n, CAST(CASE WHEN {FOLD.format("list_extract(string_split(dir, '/'), -1)")} = 'promo' THEN 0
+      WHEN contains({FOLD.format("list_extract(string_split(dir, '/'), -1)")}, 'promo') THEN 1 ELSE 2 END AS INTEGER) AS relevance FROM g"""
 )
 def folder_groups(spark, sf_dir):
-    return facets.folder_groups(T.parts(spark, sf_dir), "brass").drop("newest")
+    return facets.folder_groups(T.parts(spark, sf_dir), "promo").drop("newest")
 
 
 @register(
@@ -404,34 +433,27 @@ def md_like_refs(spark, sf_dir):
     return lineage.references(T.pages(spark, sf_dir)).groupBy("src", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ORDER_FILES = "(SELECT 'cust_' || c_custkey || '/c.md' AS path FROM customer WHERE c_custkey % 3 <> 0)"
+_ORDER_FILES = "(SELECT 'cust_' || c_custkey || '/c_' || c_custkey || '.md' AS path FROM customer WHERE c_custkey % 3 <> 0)"
+_ORDER_REFS = "(SELECT 'orders/o_' || o_orderkey || '.md' AS src, 'cust_' || o_custkey || '/c_' || o_custkey || '.md' AS dst FROM orders)"
 
 
-@register(
-    f"""SELECT 'orders/o_' || o_orderkey || '.md' AS src, 'cust_' || o_custkey || '/c.md' AS dst FROM orders
-    WHERE 'cust_' || o_custkey || '/c.md' IN (SELECT path FROM {_ORDER_FILES})"""
-)
+@register(f"SELECT src, dst FROM {_ORDER_REFS} WHERE dst IN (SELECT path FROM {_ORDER_FILES})")
 def lineage_edges(spark, sf_dir):
     return _order_graph(spark, sf_dir).where("dst is not null").select("src", "dst")
 
 
-@register(
-    f"""SELECT 'orders/o_' || o_orderkey || '.md' AS src, '../cust_' || o_custkey || '/c.md' AS ref FROM orders
-    WHERE 'cust_' || o_custkey || '/c.md' NOT IN (SELECT path FROM {_ORDER_FILES}) AND (SELECT count(*) FROM {_ORDER_FILES}) = 0"""
-)
+@register(f"SELECT src, '../' || dst AS ref FROM {_ORDER_REFS} WHERE dst NOT IN (SELECT path FROM {_ORDER_FILES})")
 def lineage_dangling(spark, sf_dir):
     return _order_graph(spark, sf_dir).where("dst is null").select("src", "ref")
 
 
 def _order_graph(spark, sf_dir):
+    """Orders that refer, relative to their own folder, to files of customers, of which every third has none."""
     orders, customers = T.read(spark, sf_dir, "orders"), T.read(spark, sf_dir, "customer")
+    name = lambda c: F.concat(F.lit("cust_"), F.col(c), F.lit("/c_"), F.col(c), F.lit(".md"))
     src = F.concat(F.lit("orders/o_"), F.col("o_orderkey"), F.lit(".md"))
-    refs = orders.select(src.alias("src"), F.concat(F.lit("../cust_"), F.col("o_custkey"), F.lit("/c.md")).alias("ref"))
-    paths = customers.where("c_custkey % 3 <> 0").select(F.concat(F.lit("cust_"), F.col("c_custkey"), F.lit("/c.md")).alias("path"))
-    found = lineage.resolve(refs, paths)
-    # References to customers without a file fall back to some other file of the same name; keep those that name their own.
-    own = F.regexp_replace("ref", r"^\.\./", "") == F.col("dst")
-    return found.where(own | F.col("dst").isNull())
+    refs = orders.select(src.alias("src"), F.concat(F.lit("../"), name("o_custkey")).alias("ref"))
+    return lineage.resolve(refs, customers.where("c_custkey % 3 <> 0").select(name("c_custkey").alias("path")))
 
 
 @register(
@@ -595,11 +617,11 @@ def path_parts(spark, sf_dir):
 
 
 @register(
-    f"""SELECT path, array_to_string([t FOR t IN [CASE WHEN contains(lower(path), 'brass') THEN 'metal' END, CASE WHEN regexp_matches(path, 'Brand#[12]') THEN 'low' END]
+    f"""SELECT path, array_to_string([t FOR t IN [CASE WHEN contains(lower(path), 'promo') THEN 'metal' END, CASE WHEN regexp_matches(path, 'Brand#[12]') THEN 'low' END]
       IF t IS NOT NULL], ' ') AS tags FROM {PART}"""
 )
 def ontology_tags(spark, sf_dir):
-    rules = [("BRASS", "metal"), ("brand#[12]", "low"), ("brass", "metal")]
+    rules = [("PROMO", "metal"), ("brand#[12]", "low"), ("promo", "metal")]
     return T.parts(spark, sf_dir).select("path", F.array_join(X.tags_for(F.col("path"), rules), " ").alias("tags"))
 
 
@@ -635,13 +657,13 @@ def storm_cap(spark, sf_dir):
 
 
 @register(
-    f"""WITH r AS (SELECT path FROM {_DIRS.format(PART)} WHERE contains(path, '/') AND contains(path, 'BRASS') OR path = 'Brand#12'),
+    f"""WITH r AS (SELECT path FROM {_DIRS.format(PART)} WHERE contains(path, '/') AND contains(path, 'PROMO') OR path = 'Brand#12'),
     d AS (SELECT path, true AS recursive FROM r UNION SELECT path, false FROM {PART})
     SELECT path, recursive FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE starts_with(d.path, r.path || '/') OR (d.path = r.path AND NOT d.recursive))"""
 )
 def dirty_subsume(spark, sf_dir):
     parts = T.parts(spark, sf_dir)
-    roots = tree.directories(parts).where("contains(path, '/') and contains(path, 'BRASS') or path = 'Brand#12'")
+    roots = tree.directories(parts).where("contains(path, '/') and contains(path, 'PROMO') or path = 'Brand#12'")
     marks = roots.select("path", F.lit(True).alias("recursive")).unionByName(parts.select("path", F.lit(False).alias("recursive")))
     return live.subsume(marks)
 

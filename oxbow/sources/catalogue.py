@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions import text as X
 from ..operators.delta import reusable
+from ..operators.search import haystack
 from .extract import describe
 from .tree import walk
 
@@ -21,7 +22,7 @@ ENTRY = (
 )
 COLUMNS = [
     "path", "name", "parent", "depth", "path_key", "path_fold", "category", "ext", "size_bytes", "mtime", "is_symlink", "symlink_target",
-    "symlink_ok", "extractor", "tags", "meta", "figure_text", "error", "n_obs", "n_vars",
+    "symlink_ok", "extractor", "tags", "meta", "figure_text", "error", "n_obs", "n_vars", "haystack",
 ]
 
 
@@ -40,7 +41,7 @@ def derive(entries: DataFrame, tags: list[tuple[str, str]] = tuple(X.TAGS), colu
             "path_fold": X.ascii_fold(path), "tags": X.tags_for(path, list(tags)), "n_obs": n_obs, "n_vars": n_vars,
             "figure_text": F.col("__figure"), "meta": left,
         }
-    ).select(*COLUMNS)
+    ).withColumn("haystack", haystack("sql")).select(*COLUMNS)
 
 
 def build(spark: SparkSession, root: str, prior: DataFrame | None = None, reference: float | None = None, tags=tuple(X.TAGS), **options) -> DataFrame:
