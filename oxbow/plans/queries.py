@@ -175,7 +175,7 @@ def lean_projection(spark, sf_dir):
 
 
 @register(
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a/c' WHEN event_id % 3 = 1 THEN '../x' ELSE 'b' END AS collapsed,
+    r"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a/c' WHEN event_id % 3 = 1 THEN '../x' ELSE 'b' END AS collapsed,
     regexp_full_match('d/f' || event_id || '.csv', '(?s)d/f[12].*\.cs.') AS globbed FROM events"""
 )
 def path_collapse_and_glob(spark, sf_dir):
