@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: 0x20 and 0x09 to 0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slabs(text: bytes, size: int = 4_000_000) -> Iterator[bytes]:
+    """A text in order, in pieces that begin and end at blanks, of about `size` bytes (more only where a run has no blank)."""
+    at = 0
+    while len(text) - at > size:
+        blank = _BLANK.search(text, at + size)
+        if blank is None:
+            break
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
+
+
 def learning_share(column: str, modulus: int, held_out: int) -> F.Column:
     """True for held-out rows: crc32(column as text) mod `modulus` equals `held_out`."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)) == held_out

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .common import slabs
+
 MAX_TOKENS = 2048
 END_ID = 1
 WINDOW_TOKENS = 2_000_000
@@ -97,6 +99,17 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encode_part(words: WordEncoder, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of a few texts; a very long one goes piece by piece, cut at blanks."""
+    if texts.nbytes <= 2 * PART_BYTES:
+        return words.encode(texts)
+    out = []
+    for text in texts.to_pylist():
+        pieces = slabs((text or "").encode(), PART_BYTES)
+        out.append(np.concatenate([words.encode(pa.array([p.decode()]))[0] for p in pieces]))
+    return out
+
+
 def assign(lengths: list[int], max_tokens: int, linear: float, quadratic: float) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these lengths; all sequences come out full.
 
@@ -172,7 +185,7 @@ def pack(
             step = max(1, batch.num_rows * PART_BYTES // max(PART_BYTES, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
+                for doc, ids in zip(part.column(0).to_pylist(), encode_part(words, part.column(1))):
                     window.append((doc, np.append(ids, np.uint32(end_id))))
                     held += len(ids) + 1
                     if held >= window_tokens:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut
+from .common import connected_components, cut, slabs
 
 SEED = 42
 MAX_BITS = 2
@@ -39,18 +39,29 @@ SCATTERED = 8
 _SLAB = 1 << 16
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Signed 64-bit SimHash of lower-cased word shingles, repeats included; null or no word: 0."""
-    tokens = (text or b"").lower().split()
-    if not tokens:
-        return 0
-    shingles = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-    total = max(1, len(tokens) - words + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64, total)
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64, np.int64)
-    for start in range(0, total, _SLAB):
+    for start in range(0, len(hashes), _SLAB):
         part = hashes[start : start + _SLAB].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """Signed 64-bit SimHash of lower-cased word shingles, repeats included; null or no word: 0."""
+    ones, total, last = np.zeros(64, np.int64), 0, []
+    for part in slabs(text or b""):
+        tokens = last + part.lower().split()
+        last = tokens[len(tokens) - words + 1 :] if len(tokens) >= words else tokens
+        shingles = max(0, len(tokens) - words + 1)
+        found = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
+        hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), found), np.uint64, shingles)
+        ones, total = ones + _bit_counts(hashes), total + shingles
+    if not total and last:  # fewer words than a shingle: the whole sequence
+        whole = np.array([xxhash.xxh64_intdigest(b" ".join(last), seed=SEED)], np.uint64)
+        ones, total = _bit_counts(whole), 1
+    if not total:
+        return 0
     bits = np.packbits(ones * 2 > total, bitorder="little")
     return int(bits.view("<i8")[0])
 

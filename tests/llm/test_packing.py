@@ -65,3 +65,12 @@ def test_costs_are_balanced():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "PART_BYTES", 9)
+    words = packing.WordEncoder(packing.default_tokenizer())
+    found = packing.encode_part(words, pa.array(TEXTS))
+    assert [x.tolist() for x in found] == [reference(t)[:-1] for t in TEXTS]

@@ -76,3 +76,16 @@ def test_empty_and_representatives(spark, repeat):
     rows = [(2, "same words here now", "a", "b"), (1, "same words here now", "c", "d"), (3, "other things in this text", "", "")]
     kept = simhash.representatives(spark.createDataFrame(rows * repeat, SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "fp", "key"]
+
+
+def test_long_texts_in_slabs(monkeypatch):
+    seeded = random.Random(1)
+    from oxbow.llm import common
+
+    for count in (0, 1, 2, 3, 4, 50, 700):
+        text = "".join(seeded.choice(["a", "Bé", "ccc"]) + seeded.choice([" ", "\n", "  \t"]) for _ in range(count))
+        whole = simhash.fingerprint(text.encode())
+        assert whole % 2**64 == brute_print(text)
+        monkeypatch.setattr(simhash, "slabs", lambda t: common.slabs(t, 7))
+        assert simhash.fingerprint(text.encode()) == whole
+        monkeypatch.undo()
