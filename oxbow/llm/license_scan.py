@@ -23,6 +23,7 @@ K = 3
 WINDOW = 2
 BAND = 4
 LEAST_COVERAGE = 0.8
+LONG_TEXT = 4_000_000
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 # Notices of common licenses, by SPDX identifier.
@@ -59,13 +60,20 @@ class Index:
         self.k, self.words = k, {name: words_of(text) for name, text in templates.items()}
         if sum(map(len, self.words.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+        self.known = {word: word for words in self.words.values() for word in words}
         self.grams: dict[str, dict[tuple[str, ...], list[tuple[str, int]]]] = {}
         for name, words in self.words.items():
             for at in fingerprints(words, k, window) if words else ():
                 gram = tuple(words[at : at + k])
                 self.grams.setdefault(gram[0], {}).setdefault(gram, []).append((name, at))
 
-    def hits(self, words: list[str]) -> dict[str, list[int]]:
+    def reduce(self, text: str) -> list[str | None]:
+        """The words of a text, those that no template has as None, so that a long text takes a pointer a word."""
+        low = text.lower()
+        words = _WORD.findall(low) if len(low) < LONG_TEXT else (m.group() for m in _WORD.finditer(low))
+        return [self.known.get(w) for w in words]
+
+    def hits(self, words: list[str | None]) -> dict[str, list[int]]:
         """Diagonals (text position minus template position) by template, ascending."""
         found: dict[str, set[int]] = {}
         for i, word in enumerate(words):
@@ -108,7 +116,7 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
 
 def scan_text(text: str | None, index: Index, band: int, least: float) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched, start, end) of a text; start and end are code points. Overlaps go to the better match."""
-    words = words_of(text or "")
+    words = index.reduce(text or "")
     found = []
     for name, diagonals in index.hits(words).items():
         template = index.words[name]
@@ -124,10 +132,15 @@ def scan_text(text: str | None, index: Index, band: int, least: float) -> list[t
             chosen.append((a, b, name, -share, -matched))
     if not chosen:
         return []
-    # Lower-casing can change lengths, so places come from the words' order in the text itself.
-    places = [m.span() for m in _WORD.finditer(text)]
-    if len(places) != len(words):
-        places = [m.span() for m in _WORD.finditer(text.lower())]
+    needed = {i for a, b, *_ in chosen for i in (a, b)}
+    places, count = {}, 0
+    # Lower-casing can change lengths, so places are taken from the text itself, if it has the same words.
+    for source in (text, text.lower()):
+        for count, word in enumerate(_WORD.finditer(source), 1):
+            if count - 1 in needed:
+                places[count - 1] = word.span()
+        if count == len(words):
+            break
     return [(name, share, matched, places[a][0], places[b][1]) for a, b, name, share, matched in sorted(chosen)]
 
 
