@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# States of an operation, and what a crash makes of those it can catch in the middle.
-STATES = ["planned", "executing", "committed", "settled", "failed", "undoing", "undone", "redoing", "redone", "conflicted", "abandoned"]
+# States of an operation, those it ends in, and what recovery after a crash makes of those in the middle.
+STATES = [
+    "planned", "executing", "copied", "verified", "finalized", "source_removed", "committed", "settled", "failed", "reverting", "undone",
+]
+TERMINAL = ["settled", "failed", "undone"]
 RECOVERY = {"planned": "failed", "executing": "failed", "committed": "settled"}
-NEXT = {"planned": ["executing", "failed"], "executing": ["committed", "failed"], "committed": ["settled"]}
+NEXT = {"planned": ["executing", "failed"], "executing": ["committed", "failed"], "committed": ["settled", "failed"]}
 
 
 def current(log: DataFrame) -> DataFrame:
@@ -23,6 +26,11 @@ def recovered_state(state: Column) -> Column:
     return out
 
 
+def pending(states: DataFrame) -> DataFrame:
+    """Operations that have not ended."""
+    return states.where(~F.col("state").isin(TERMINAL))
+
+
 def recover(states: DataFrame) -> DataFrame:
     """`states` with the state that recovery after a crash leaves."""
     return states.withColumn("recovered", recovered_state(F.col("state")))
@@ -30,8 +38,6 @@ def recover(states: DataFrame) -> DataFrame:
 
 def illegal(log: DataFrame) -> DataFrame:
     """Entries of the log that their operation's previous state does not allow."""
-    from pyspark.sql import Window
-
     before = F.lag("state").over(Window.partitionBy("op_id").orderBy("seq"))
     allowed = F.create_map(*(x for k, v in NEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     steps = log.withColumn("before", before)

@@ -10,16 +10,17 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.text import ancestors
 from ..operators.delta import upsert
+from ..sources.tree import PRUNED, SKIPPED_NAMES
 
 QUIET, LONGEST = "300 milliseconds", "2 seconds"
 STORM = 10_000
-# Names whose events never count, at any level.
-EXCLUDED = [".git", ".DS_Store", "__pycache__", "node_modules", ".venv", ".ipynb_checkpoints"]
+EXCLUDED = [*PRUNED, *SKIPPED_NAMES]  # names whose events never count, at any level
 
 
 def bursts(events: DataFrame, time: str = "ts", quiet: str = QUIET, *keys: str) -> DataFrame:
@@ -61,7 +62,7 @@ def reconcile(catalog: DataFrame, dirty: DataFrame, found: DataFrame) -> DataFra
     return upsert(catalog.join(gone, "path", "left_anti").select(*catalog.columns), found)
 
 
-def follow(events: DataFrame, store, look: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None):
+def follow(events: DataFrame, store, look: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None, name: str = "oxbow"):
     """Start a query that reconciles `store` (see sources.catalogue.Store) with each batch of events (path, recursive).
 
     `look(marks)` returns the catalogue rows now at or below the marks, and must raise where something can not be read: the batch
@@ -76,10 +77,43 @@ def follow(events: DataFrame, store, look: Callable[[DataFrame], DataFrame], che
             marks = batch.sparkSession.createDataFrame([("", True)], "path string, recursive boolean")
         store.publish(reconcile(store.read(), marks, look(marks)), generation=batch_id)
 
-    writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": LONGEST})).start()
 
 
+class Health(StreamingQueryListener):
+    """Watches a query by name: `state` is live, unreachable (it failed) or stopped; `changed` is called on transitions alone."""
+
+    def __init__(self, name: str, changed: Callable[[str], None] = lambda state: None):
+        self.name, self.changed, self.state, self._ids = name, changed, "stopped", set()
+
+    def _set(self, state: str) -> None:
+        if state != self.state:
+            self.state = state
+            self.changed(state)
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self._ids.add(event.runId)
+            self._set("live")
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId in self._ids:
+            self._set("unreachable" if event.exception else "stopped")
+
+
+def resume(store, look: Callable[[DataFrame], DataFrame], spark: SparkSession) -> int:
+    """After a pause or a failure: look at the whole tree once, since events may have been missed. Then start `follow` again."""
+    everything = spark.createDataFrame([("", True)], "path string, recursive boolean")
+    return store.publish(reconcile(store.read(), everything, look(everything)))
+
+
 def defer(events: DataFrame, owners: DataFrame, drain_seconds: float = 0.5) -> DataFrame:
     """Events with `drain_at`: when they may be handled, if operations in progress own their paths.
 

@@ -42,6 +42,37 @@ def test_events_keep_the_catalogue_current(spark, tmp_path):
     assert store.generation() == generation  # nothing to do, nothing published
 
 
+def test_health_and_resume(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "x.md").write_text("# x\n")
+    store = catalogue.Store(spark, str(tmp_path / "store"))
+    store.publish(catalogue.build(spark, str(tmp_path / "tree")))
+    (tmp_path / "tree" / "y.md").write_text("# y\n")
+    assert live.resume(store, lambda marks: catalogue.build(spark, str(tmp_path / "tree")), spark) == 2
+    assert {r.path for r in store.read().collect()} == {"x.md", "y.md"}
+
+    seen = []
+    health = live.Health("watched", seen.append)
+    spark.streams.addListener(health)
+
+    def unplugged(marks):
+        raise OSError("unplugged")
+
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"path": "x.md", "recursive": False}))
+    stream = spark.readStream.schema("path string, recursive boolean").json(str(tmp_path / "in"))
+    query = live.follow(stream, store, unplugged, str(tmp_path / "cp"), {"availableNow": True}, "watched")
+    with pytest.raises(Exception, match="unplugged"):
+        query.awaitTermination()
+    until = time.time() + 20
+    while len(seen) < 2 and time.time() < until:
+        time.sleep(0.2)
+    spark.streams.removeListener(health)
+    assert seen == ["live", "unreachable"] and store.generation() == 2
+
+
 def test_unreadable_root_leaves_the_catalogue(spark, tmp_path):
     (tmp_path / "tree").mkdir()
     (tmp_path / "tree" / "x.md").write_text("# x\n")
