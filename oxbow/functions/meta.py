@@ -16,7 +16,7 @@ def int_at(meta: Column, key: str) -> Column:
     """A top-level integer; floats, strings and other JSON values are null. A cast alone would round floats."""
     token = F.get_json_object(meta, f"$.{key}")
     quoted = meta.rlike(rf'"{key}"\s*:\s*"')
-    return F.when(token.rlike(r"^-?\d+$") & ~quoted, token.cast("long"))
+    return F.when(token.rlike(r"^-?\d+$") & ~quoted, token.try_cast("long"))
 
 
 def shape(meta: Column) -> tuple[Column, Column]:
@@ -35,12 +35,9 @@ def has_key(meta: Column, key: str) -> Column:
 
 
 def without_keys(meta: Column, keys: list[str]) -> Column:
-    """The object without some top-level keys, values kept as their JSON text; texts without those words are untouched."""
-    fields = F.from_json(meta, "map<string,string>")
-    kept = F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(keys)))
+    """The object without some top-level keys; texts that do not mention them are untouched and never reach Python."""
     mentioned = meta.rlike("|".join(f'"{k}"' for k in keys))
-    rebuilt = _drop(meta, F.lit(json.dumps(keys)))
-    return F.when(mentioned, F.coalesce(rebuilt, kept)).otherwise(meta)
+    return F.coalesce(_drop(F.when(mentioned, meta), F.lit(json.dumps(keys))), meta)
 
 
 @F.pandas_udf(T.StringType())
