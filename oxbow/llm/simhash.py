@@ -136,6 +136,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.col("node").alias("fp"), "component_id")
     )
     classes = prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    classes = cut(classes)  # so that the last join stands alone, and Spark may split a fingerprint with many copies
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
