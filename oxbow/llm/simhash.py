@@ -143,9 +143,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row for each component: the row of the smallest id (of repeated rows with that id, one)."""
+    """`docs` with one row for each component: that of the smallest id, null ids last; of rows with that id, the one whose text and
+    then whose columns have the least hash, so that a rerun keeps the same row."""
     columns = docs.columns
-    found = components(docs, id_col, text_col)
-    kept = found.where(found.doc_id.eqNullSafe(found.component_id)).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates([id_col]).select(*columns)
+    filled = [F.col(f"`{c}`") for c in columns]
+    mark = F.struct(
+        F.col(id_col).isNull().alias("no_id"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("t"),
+        F.xxhash64(*filled, *(c.isNull() for c in filled)).alias("r"),
+    )
+    marked = cut(docs.select(mark.alias("mark"), fingerprint_udf(F.col(text_col).cast("binary")).alias("fp")))
+    prints = cut(marked.groupBy("fp").agg(F.min("mark").alias("mark")))
+    roots = connected_components(links(prints))
+    chosen = prints.join(roots, prints.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    chosen = cut(chosen.agg(F.min("mark").alias("__mark")).select("__mark.*"))
+    rows = docs.select(F.struct(*filled).alias("__row"), mark.alias("__mark")).select("__row", "__mark.*")
+    same = rows["id"].eqNullSafe(chosen["id"]) & (rows["t"] == chosen["t"]) & (rows["r"] == chosen["r"])
+    kept = rows.join(chosen, same, "left_semi").dropDuplicates(["id", "t", "r"])
+    return kept.select("__row.*")

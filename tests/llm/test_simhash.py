@@ -89,3 +89,15 @@ def test_long_texts_in_slabs(monkeypatch):
         monkeypatch.setattr(simhash, "slabs", lambda t: common.slabs(t, 7))
         assert simhash.fingerprint(text.encode()) == whole
         monkeypatch.undo()
+
+
+def test_representatives_by_component(spark):
+    a, b, c = "one set of words here now", "quite another text about other things", "third kind of text that stands alone"
+    rows = [(None, a, "x", None), (None, a, None, "x"), (None, b, "", ""), (5, c, "", ""), (None, c, "", ""), (7, a + " z", "", ""), (7, b + " y", "", "")]
+    want = {(r[2], r[1]) for r in rows}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    groups = {r.fingerprint for r in simhash.components(frame).collect()}
+    kept = sorted((tuple(r) for r in simhash.representatives(frame).collect()), key=str)
+    again = sorted((tuple(r) for r in simhash.representatives(frame.repartition(3)).collect()), key=str)
+    assert kept == again and len(kept) == len(groups) == 5 and {(r[2], r[1]) for r in kept} <= want
+    assert [r[0] for r in kept if r[1] == c] == [5]
