@@ -5,13 +5,16 @@ with both (chunks keep the dictionaries relevant however long the text is); the
 text's bytes, is the margin. A curve fitted on other labelled texts turns margins into probabilities: isotonic steps, joined by lines,
 with a little of a logistic curve so that equal steps still rank (with few labels, the logistic curve alone).
 
-Learning uses bounded samples, drawn by a hash of the id: DICTIONARY_DOCS texts a class for the dictionaries (of at most
-DICTIONARY_TEXT characters each) and CALIBRATION_DOCS texts for the curve. Scoring covers every whole text, in one pass that
+Learning uses bounded samples, drawn by a hash of the id: DICTIONARY_DOCS texts a class for the dictionaries and CALIBRATION_DOCS
+texts for the curve. A dictionary learns SAMPLES_PER_TEXT chunks of SAMPLE_BYTES bytes of each of its texts, however long: the text is
+cut into so many even stretches, and each gives one chunk at a place seeded by the text (a text no longer than all chunks is learnt whole). Scoring covers every whole text, in one pass that
 shuffles nothing.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DICTIONARY_DOCS = 800
-DICTIONARY_TEXT = 20_000
 CALIBRATION_DOCS = 4_000
 DICTIONARY_BYTES = 32_768
 SAMPLES_PER_TEXT = 4
+SAMPLE_BYTES = 512
 CHUNK_BYTES = 1024
 LEVEL = 3
 THRESHOLD = 0.3
@@ -53,9 +56,23 @@ class Model:
         return (1 - SMOOTH) * np.interp(margins, at, value) + SMOOTH * smooth
 
 
-def build_dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or where the texts are too few to train one, their end as raw content."""
-    chunks = [t[i : i + 512] for t in texts for i in range(0, min(len(t), 512 * SAMPLES_PER_TEXT), 512)]
+def sample(text: bytes) -> list[bytes]:
+    """Chunks to learn from, spread over the whole text by a seed taken from it; a short text in whole, in order."""
+    if len(text) <= SAMPLE_BYTES * SAMPLES_PER_TEXT:
+        return [text[i : i + SAMPLE_BYTES] for i in range(0, len(text), SAMPLE_BYTES)]
+    seeded = random.Random(zlib.crc32(text))
+    ends = [len(text) * i // SAMPLES_PER_TEXT for i in range(SAMPLES_PER_TEXT + 1)]
+    places = [seeded.randint(a, b - SAMPLE_BYTES) for a, b in zip(ends, ends[1:])]
+    return [text[at : at + SAMPLE_BYTES] for at in places]
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def sample_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sample(t or b""))
+
+
+def build_dictionary(chunks: list[bytes], size: int) -> bytes:
+    """A dictionary trained on chunks, or where these are too few to train one, their end as raw content."""
     try:
         return zstandard.train_dictionary(size, chunks).as_bytes()
     except zstandard.ZstdError:
@@ -157,11 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     found = texts.join(F.broadcast(wanted), "__id")  # at most 4 * DICTIONARY_DOCS + 2 * CALIBRATION_DOCS rows
 
-    rows = found.where(f"__use = 'dictionary' and length(__text) between 1 and {DICTIONARY_TEXT}")
-    by_label: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
-    for row in rows.select("__label", "__id", "__text").collect():
-        by_label[row["__label"]].append((row["__id"], row["__text"].encode("utf-8", "replace")))
-    sets = [[t for _, t in sorted(by_label[k])] for k in (1, 0)]
+    rows = found.where("__use = 'dictionary' and __text <> ''")
+    rows = rows.select("__label", "__id", sample_udf(F.col("__text").cast("binary")).alias("__chunks"))
+    by_label: dict[int, list[tuple[int, list[bytes]]]] = {0: [], 1: []}
+    for row in rows.collect():
+        by_label[row["__label"]].append((row["__id"], [bytes(c) for c in row["__chunks"]]))
+    sets = [[c for _, chunks in sorted(by_label[k]) for c in chunks] for k in (1, 0)]
     size = min(DICTIONARY_BYTES, max(512, min(sum(map(len, s)) for s in sets) // 4))
     good, bad = (build_dictionary(s, size) for s in sets)
 

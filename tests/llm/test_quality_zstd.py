@@ -52,3 +52,16 @@ def test_held_out_accuracy(spark, data):
     found = [r for r in op2_quality(spark, data).collect() if r.held_out and r.doc_id in labels]
     right = sum(r.predicted == labels[r.doc_id] for r in found)
     assert len(found) > 50 and right / len(found) > 0.93
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    seeded = random.Random(9)
+    text = bytes(seeded.randrange(97, 123) for _ in range(100_000))
+    places = [text.index(c) for c in quality_zstd.sample(text)]
+    assert [p // 25_000 for p in places] == [0, 1, 2, 3] and quality_zstd.sample(text) == quality_zstd.sample(text)
+    assert b"".join(quality_zstd.sample(text[:2000])) == text[:2000] and quality_zstd.sample(b"") == []
+    head = lambda n: " ".join("".join(seeded.choice("etaoinshr") for _ in range(5)) for _ in range(n))
+    docs = [(i, head(500) + " " + ("JUNK$$ " * 4000 if i % 2 else head(4600)), "", "", "") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality_zstd.fit(spark.createDataFrame(docs, SCHEMA), labels)
+    assert b"JUNK$$" in model.bad and b"JUNK$$" not in model.good
