@@ -1,7 +1,8 @@
 """License scans: winnowed template fingerprints in an inverted index, then banded alignment.
 
 Templates are cut into word k-grams; of every `window` consecutive k-grams the one with the least hash becomes a fingerprint
-(winnowing), so any run of window + k - 1 words shared with a template holds a fingerprint. The inverted index maps fingerprints to
+(winnowing), so any run of window + k - 1 words shared with a template holds a fingerprint. A template so short that the words it may
+lack can leave only shorter runs has all its grams indexed, of the length of the run that is sure to be left. The inverted index maps fingerprints to
 template positions. Each text is read once: its k-grams probe the index, and each hit names a template and a diagonal. Around such
 diagonals a banded alignment counts the template's words found in order, and reports coverage and span.
 
@@ -10,7 +11,9 @@ The index is as large as the templates, which are a parameter of at most MAX_TEM
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 MAX_TEMPLATE_WORDS = 1_000_000
 K = 3
 WINDOW = 2
@@ -26,7 +31,7 @@ LEAST_COVERAGE = 0.8
 LONG_TEXT = 4_000_000
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
-# Notices of common licenses, by SPDX identifier.
+# Short notices, standard headers and full texts of common licenses, by SPDX identifier.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -37,6 +42,7 @@ TEMPLATES = {
     "following conditions are met",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files, to deal in the Software without restriction",
+    **TEXTS,
 }
 
 SCHEMA = "license string, coverage double, matched int, start int, end int"
@@ -53,19 +59,36 @@ def fingerprints(words: list[str], k: int = K, window: int = WINDOW) -> set[int]
     return {-min(hashes[i : i + window])[1] for i in range(max(1, len(hashes) - window + 1))}
 
 
+def sure_run(count: int, least: float) -> int:
+    """Words in a row that are left of a template of `count` words, whichever words a match of coverage `least` replaces."""
+    lacking = count - math.ceil(least * count - 1e-9)
+    return -(-(count - lacking) // (lacking + 1))
+
+
 class Index:
-    """Inverted index of winnowed fingerprints: first word -> k-gram -> [(template, position)]."""
+    """Inverted index of fingerprints: first word -> lengths of grams, gram -> [(template, position)]."""
 
-    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW, least: float = LEAST_COVERAGE):
         self.k, self.words = k, {name: words_of(text) for name, text in templates.items()}
         if sum(map(len, self.words.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
         self.known = {word: word for words in self.words.values() for word in words}
-        self.grams: dict[str, dict[tuple[str, ...], list[tuple[str, int]]]] = {}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.sizes: dict[str, set[int]] = {}
+        self.grams: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         for name, words in self.words.items():
-            for at in fingerprints(words, k, window) if words else ():
-                gram = tuple(words[at : at + k])
-                self.grams.setdefault(gram[0], {}).setdefault(gram, []).append((name, at))
+            if not words:
+                continue
+            run = sure_run(len(words), least)
+            if run >= k + window - 1:
+                size, places = k, fingerprints(words, k, window)
+            else:
+                size = max(1, min(k, run))
+                places = set(range(len(words) - size + 1))
+            for at in places:
+                gram = tuple(words[at : at + size])
+                self.sizes.setdefault(gram[0], set()).add(len(gram))
+                self.grams.setdefault(gram, []).append((name, at))
 
     def reduce(self, text: str) -> list[str | None]:
         """The words of a text, those that no template has as None, so that a long text takes a pointer a word."""
@@ -77,11 +100,9 @@ class Index:
         """Diagonals (text position minus template position) by template, ascending."""
         found: dict[str, set[int]] = {}
         for i, word in enumerate(words):
-            if word in self.grams:
-                for gram, places in self.grams[word].items():
-                    if tuple(words[i : i + len(gram)]) == gram:
-                        for name, at in places:
-                            found.setdefault(name, set()).add(i - at)
+            for size in self.sizes.get(word, ()):
+                for name, at in self.grams.get(tuple(words[i : i + size]), ()):
+                    found.setdefault(name, set()).add(i - at)
         return {name: sorted(diagonals) for name, diagonals in found.items()}
 
 
@@ -121,6 +142,9 @@ def scan_text(text: str | None, index: Index, band: int, least: float) -> list[t
     for name, diagonals in index.hits(words).items():
         template = index.words[name]
         for diagonal in diagonals:
+            near = Counter(words[max(0, diagonal - band) : max(0, diagonal + len(template) + band)])
+            if (near & index.counts[name]).total() < least * len(template):
+                continue  # no alignment can match more words than both have
             matched, a, b = align(template, words, diagonal, band)
             if matched >= least * len(template):
                 found.append((-matched / len(template), -matched, a, b, name))
@@ -158,9 +182,9 @@ def scan(
 
     coverage is the share of the template's words matched in order (at least `least`); start and end are its place in code points.
     Null and empty texts have none, repeated rows repeat theirs, other columns are ignored, an empty table gives none. A match
-    must share a run of window + k - 1 words with its template (a shorter template: all of it).
+    must share a run of window + k - 1 words with its template (a template too short for that: as many as `sure_run` says, at most k).
     """
-    index = Index(TEMPLATES if templates is None else templates, k, window)
+    index = Index(TEMPLATES if templates is None else templates, k, window, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

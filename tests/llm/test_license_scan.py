@@ -75,3 +75,27 @@ def test_every_notice_of_the_table_is_found(spark, data):
     found = {(r.doc_id, r.license) for r in L.scan(docs).collect()}
     want = {(r.doc_id, name) for r in docs.collect() for name, notice in L.TEMPLATES.items() if notice in r.text}
     assert want and want == found
+
+
+def test_common_wordings_are_found(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    texts = {
+        "Some words. Distributed under the terms of the MIT License.": "MIT",
+        "Released under a MIT License": "MIT",
+        gpl: "GPL-2.0-or-later",
+        "may be used under the terms of the GNU General Public License as published by the FSF, see COPYING": None,
+        "shared under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "LGPL",
+        "// SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only-id",
+        "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "x y " + L.TEMPLATES["MIT-full-text"].replace("AUTHORS", "OWNERS"): "MIT-text",
+        L.TEMPLATES["GPL-3.0-text"]: "GPL-3.0-text",
+        L.TEMPLATES["ISC-text"]: "ISC-text",
+    }
+    rows = [(i, text, "", "") for i, text in enumerate(texts)]
+    found = {}
+    for r in L.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    for i, (text, name) in enumerate(texts.items()):
+        if name:
+            assert name in found.get(i, set()), (text[:80], found.get(i))
+    assert sum(map(len, L.Index(L.TEMPLATES).words.values())) < L.MAX_TEMPLATE_WORDS
