@@ -630,8 +630,7 @@ def ontology_tags(spark, sf_dir):
     WHERE size_bytes < 1048576"""
 )
 def display_bytes(spark, sf_dir):
-    size = F.col("size_bytes")
-    return T.documents(spark, sf_dir).where(size < 1048576).select("path", X.human_bytes(size).alias("shown"))
+    return T.documents(spark, sf_dir).select("path", X.human_bytes(F.col("size_bytes")).alias("shown"))
 
 
 # Streams as batches over event logs

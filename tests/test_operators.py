@@ -175,3 +175,16 @@ def test_detail(spark):
     assert (one.column_names, one.refs, one.ref_by, one.dangling) == (["a", "b"], ["p.parquet"], ["d.md"], ["d.md"])
     assert one.row_count_note.startswith("not counted") and detail.entry(rows, edges, "p.parquet").first().column_names == ["k"]
     assert detail.entry(rows, edges, "absent").count() == 0
+
+
+def test_display_bytes_shows_long_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from oxbow.plans import queries
+
+    lengths = [0, 1023, 1024, 1536, 1048575, 1048576, 3 * 1048576 + 52429]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    docs = docs.select("doc_id", F.expr("repeat('x', cast(n as int))").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("n").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shown = sorted(r.shown for r in queries.display_bytes(spark, str(tmp_path)).collect())
+    assert shown == sorted(["0 B", "1023 B", "1.0 KB", "1.5 KB", "1024.0 KB", "1.0 MB", "3.1 MB"])
