@@ -11,6 +11,7 @@ The index is as large as the templates, which are a parameter of at most MAX_TEM
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -135,24 +136,37 @@ def align(template: list[str], words: list[str], diagonal: int, band: int = BAND
     return best[0], *span
 
 
+def strips(diagonals: list[int], band: int) -> Iterator[tuple[int, int]]:
+    """(middle, half width) of alignments that take in `band` diagonals around each of the ascending diagonals, those within a band of
+    the strip's first one together."""
+    at = 0
+    while at < len(diagonals):
+        end = bisect.bisect_right(diagonals, diagonals[at] + band)
+        first, last = diagonals[at], diagonals[end - 1]
+        yield (first + last) // 2, band + (last - first + 1) // 2
+        at = end
+
+
 def scan_text(text: str | None, index: Index, band: int, least: float) -> list[tuple[str, float, int, int, int]]:
-    """(license, coverage, matched, start, end) of a text; start and end are code points. Overlaps go to the better match."""
+    """(license, coverage, matched, start, end) of a text; start and end are code points. Overlaps go to the match of
+    more words, so a license's text is not lost to a notice that it quotes."""
     words = index.reduce(text or "")
     found = []
     for name, diagonals in index.hits(words).items():
         template = index.words[name]
-        for diagonal in diagonals:
-            near = Counter(words[max(0, diagonal - band) : max(0, diagonal + len(template) + band)])
+        for diagonal, width in strips(diagonals, band):
+            near = Counter(words[max(0, diagonal - width) : max(0, diagonal + len(template) + width)])
             if (near & index.counts[name]).total() < least * len(template):
                 continue  # no alignment can match more words than both have
-            matched, a, b = align(template, words, diagonal, band)
+            matched, a, b = align(template, words, diagonal, width)
             if matched >= least * len(template):
-                found.append((-matched / len(template), -matched, a, b, name))
-    taken: list[tuple[int, int]] = []
+                found.append((-matched, -matched / len(template), a, b, name))
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
     chosen = []
-    for share, matched, a, b, name in sorted(found):
-        if all(b < x or y < a for x, y in taken):
-            taken.append((a, b))
+    for matched, share, a, b, name in sorted(set(found)):
+        at = bisect.bisect(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] < a) and (at == len(taken) or b < taken[at][0]):
+            taken.insert(at, (a, b))
             chosen.append((a, b, name, -share, -matched))
     if not chosen:
         return []
