@@ -1,13 +1,17 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
-Vectors are quantised to integers and dealt into blocks. Each task meets one block of candidates with one block of queries: it lays
-the candidates out by dimension, adds up scores one group of dimensions at a time, and after each group drops the candidates that
-cannot reach the k-th best lower bound, since what the remaining dimensions can add is at most the product of the remaining
-norms (Cauchy-Schwarz). Survivors are compacted before the next group. A window over each query's block winners gives the top k.
+Vectors are quantised to integers. Candidates stay where they lie; blocks of queries, of bounded size, are broadcast to them one after
+the other. A task lays out its candidates by dimension and adds up scores one group of dimensions at a time. After each group a pair
+of query and candidate is dropped where even the most that the remaining dimensions can add, the product of the remaining norms
+(Cauchy-Schwarz), does not reach the query's floor; candidates that no query of a chunk needs any more are compacted away, and once few
+pairs are left these go on as pairs. A query's floor is its exact k-th best score so far, carried from batch to batch. A window over
+the tasks' winners gives the top k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,10 +22,13 @@ from .common import cut
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-CANDIDATE_BLOCK = 16_384
-QUERY_BLOCK = 2_048
+CANDIDATE_BLOCK = 8_192
+#: Queries a broadcast: QUERY_BLOCK vectors of integers, however many queries there are.
+QUERY_BLOCK = 8_192
 DIMENSION_GROUP = 16
-_CHUNK = 64
+#: Below this share of live pairs a chunk goes on pair by pair.
+FEW_PAIRS = 0.02
+_CHUNK = 256
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -37,49 +44,125 @@ def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
+def limbs(vectors: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(shift, part) with the vectors as the sum of part << shift, parts below 2^most in size and as exact doubles."""
+    found, shift, rest = [], 0, vectors.astype(np.int64)
+    while True:
+        low = rest & ((1 << most) - 1)
+        rest = rest >> most  # floor: the last part carries the sign
+        if ((rest == 0) | (rest == -1)).all():  # nothing but the signs is left
+            found.append((shift, (low + (rest << most)).astype(np.float64)))
+            return found
+        found.append((shift, low.astype(np.float64)))
+        shift += most
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices, row by row, exact: as longs, or as Python integers where these may be
+    too large for a long. Products beyond exact doubles are added up from limbs."""
+    dim = max(a.shape[1], 1)
+    size_a, size_b = (float(np.abs(x.astype(float)).max(initial=0)) for x in (a, b))
+    if size_a * size_b * dim < 2.0**52:
+        return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
+    most = (52 - int(dim).bit_length()) // 2
+    total: np.ndarray | int = np.zeros(len(a), object)
+    for shift_a, part_a in limbs(a, most):
+        for shift_b, part_b in limbs(b, most):
+            part = np.einsum("ij,ij->i", part_a, part_b)
+            total = total + np.array([int(x) << (shift_a + shift_b) for x in part.tolist()], object)
+    return total
+
+
+class Search:
+    """The k best candidates of each query of a block, over batches of candidates; ties go to the smaller id.
+
+    `alive` sums up, for each group of dimensions, the pairs that its bound left and the pairs there were.
+    """
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, group: int = DIMENSION_GROUP):
+        self.ids, self.queries, self.k, self.group = ids, queries, k, group
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
+        self.floor = np.full(len(ids), -np.inf)
+        self.alive: dict[int, list[int]] = {}
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        n, dim = vectors.shape
+        if not n or not len(self.ids):
+            return
+        real, asked = vectors.astype(np.float64), self.queries.astype(np.float64)
+        order = np.argsort(-np.square(real).sum(axis=0), kind="stable")  # heaviest dimensions first
+        columns, rows = np.ascontiguousarray(real.T[order]), asked[:, order]
+        spans = [slice(a, min(a + self.group, dim)) for a in range(0, dim, self.group)] or [slice(0, 0)]
+        tails = [(np.sqrt(np.square(rows[:, s.stop :]).sum(axis=1)), np.sqrt(np.square(columns[s.stop :]).sum(axis=0))) for s in spans]
+        # Rounding of sums and bounds, far below 1 while scores are exact doubles.
+        slack = 0.25 + 2.0**-40 * (np.sqrt(np.square(rows).sum(axis=1)).max() * np.sqrt(np.square(columns).sum(axis=0)).max())
+        for begin in range(0, len(rows), _CHUNK):
+            at = slice(begin, begin + _CHUNK)
+            floor, lead = self.floor[at], rows[at]
+            left = np.arange(n)
+            score = np.zeros((len(lead), n))
+            pairs = None
+            for g, span in enumerate(spans):
+                if pairs is None:
+                    score += lead[:, span] @ columns[span][:, left]
+                    if g == 0:
+                        self._raise_floors(at, score, ids, vectors)
+                        floor = self.floor[at]
+                    open_ = score + tails[g][0][at, None] * tails[g][1][None, left] >= (floor - slack)[:, None]
+                    share = open_.mean()
+                    self._count(g, int(open_.sum()), n * len(lead))
+                    if share < FEW_PAIRS or g == len(spans) - 1:
+                        i, j = np.nonzero(open_)
+                        pairs, sums = (i, left[j]), score[i, j]
+                    else:
+                        needed = open_.any(axis=0)
+                        if not needed.all():
+                            left, score = left[needed], score[:, needed]
+                else:
+                    i, j = pairs
+                    sums = sums + np.einsum("ij,ji->i", lead[i, span], columns[span][:, j])
+                    open_ = sums + tails[g][0][begin + i] * tails[g][1][j] >= floor[i] - slack
+                    self._count(g, int(open_.sum()), n * len(lead))
+                    pairs, sums = (i[open_], j[open_]), sums[open_]
+            self._merge(begin, *pairs, ids, vectors)
+
+    def _raise_floors(self, at: slice, score: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Exact scores of the candidates that lead after the first group, where a query has no floor yet."""
+        for i in np.flatnonzero(np.isinf(self.floor[at])):
+            if len(ids) > self.k:
+                first = np.argpartition(-score[i], min(4 * self.k, len(ids) - 1))[: 4 * self.k]
+                first = first[ids[first] != self.ids[at][i]]
+                if len(first) >= self.k:
+                    exact = exact_scores(np.broadcast_to(self.queries[at][i], vectors[first].shape), vectors[first])
+                    self.floor[at.start + i] = float(sorted(exact.tolist(), reverse=True)[self.k - 1])
+
+    def _merge(self, begin: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        own = ids[j] != self.ids[begin + i]
+        i, j = i[own], j[own]
+        exact = exact_scores(self.queries[begin + i], vectors[j])
+        edges = np.searchsorted(i, np.arange(len(self.ids[begin : begin + _CHUNK]) + 1))
+        for q, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                found = self.best[begin + q] + [(-int(s), int(c)) for s, c in zip(exact[a:b].tolist(), ids[j[a:b]].tolist())]
+                self.best[begin + q] = best = sorted(found)[: self.k]
+                if len(best) == self.k:
+                    self.floor[begin + q] = max(self.floor[begin + q], float(-best[-1][0]))
+
+    def _count(self, group: int, open_: int, of: int) -> None:
+        seen = self.alive.setdefault(group, [0, 0])
+        seen[0], seen[1] = seen[0] + open_, seen[1] + of
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(int(q), c, -s) for q, best in zip(self.ids, self.best) for s, c in best]
+
+
 def search_block(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, group: int = DIMENSION_GROUP
 ) -> list[tuple[int, int, int]]:
     """(query id, id, score) of each query's k best among `vectors` (one row each, integers), ties to the smaller id."""
-    n, dim = vectors.shape
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
-    if largest * max(dim, 1) >= 2.0**52:  # beyond exact doubles
-        scores = queries.astype(object) @ vectors.astype(object).T
-        return [r for i, q in enumerate(query_ids) for r in _best(q, ids, scores[i], ids != q, k)]
-    order = np.argsort(-np.square(vectors.astype(float)).sum(axis=0), kind="stable")  # heaviest dimensions first
-    columns = np.ascontiguousarray(vectors.T[order], dtype=np.float64)
-    rows = queries[:, order].astype(np.float64)
-    groups = [slice(a, min(a + group, dim)) for a in range(0, dim, group)]
-
-    def remaining(squares: np.ndarray) -> list[np.ndarray]:
-        tails = [np.sqrt(squares[g.stop :].sum(axis=0)) * (1 + 1e-9) for g in groups]
-        return tails
-
-    column_tail, row_tail = remaining(np.square(columns)), remaining(np.square(rows.T))
-    out: list[tuple[int, int, int]] = []
-    for begin in range(0, len(rows), _CHUNK):
-        part = rows[begin : begin + _CHUNK]
-        first = part[:, groups[0]] @ columns[groups[0]] if groups else np.zeros((len(part), n))
-        for i in range(len(part)):
-            q = query_ids[begin + i]
-            alive = np.flatnonzero(ids != q)
-            score = first[i, alive]
-            for g, span in enumerate(groups):
-                if g:
-                    score = score + part[i, span] @ columns[span][:, alive]
-                if len(alive) > k:
-                    slack = row_tail[g][begin + i] * column_tail[g][alive]
-                    low = score - slack
-                    floor = np.partition(low, len(low) - k)[len(low) - k]
-                    stay = score + slack >= floor - 0.25
-                    alive, score = alive[stay], score[stay]
-            out += _best(q, ids[alive], score, slice(None), k)
-    return out
-
-
-def _best(query: int, ids: np.ndarray, scores: np.ndarray, among, k: int) -> list[tuple[int, int, int]]:
-    ranked = sorted((-int(s), int(i)) for i, s in zip(ids[among], scores[among]))[:k]
-    return [(int(query), i, -s) for s, i in ranked]
+    search = Search(query_ids, queries, k, group)
+    search.add(ids, vectors)
+    return search.rows()
 
 
 def top_k(
@@ -94,31 +177,34 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's k best among all other rows, or all of them if fewer.
 
     Queries are the rows whose id is divisible by `every`. Vectors are compared with those of the same length only. Ties go to the
-    smaller id. See `quantise` for nulls and repeated ids; an empty table gives an empty result; other columns are ignored.
+    smaller id. See `quantise` for nulls and repeated ids; scores beyond a long fail; an empty table gives an empty result; other
+    columns are ignored. The driver sees one block of `query_block` queries at a time; each block is one pass over the candidates.
     """
-    rows = cut(quantise(vectors, id_col, vector_col))
-    total = rows.count()
-    candidate_blocks, query_blocks = max(1, -(-total // candidate_block)), max(1, -(-total // (every * query_block)))
-    at = F.xxhash64("vec_id")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.withColumns({"c": F.pmod(at, F.lit(candidate_blocks)).cast("int"), "q": everywhere(query_blocks)})
+    spark = vectors.sparkSession
+    rows = quantise(vectors, id_col, vector_col)
+    rows = cut(rows.repartition(max(1, -(-vectors.count() // candidate_block)), "vec_id"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    asked = asked.withColumns({"q": F.pmod(at, F.lit(query_blocks)).cast("int"), "c": everywhere(candidate_blocks)})
-
-    def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(ask) and len(have):
-            found = search_block(
-                ask["vec_id"].to_numpy(), np.stack(ask["v"].to_numpy()), have["vec_id"].to_numpy(), np.stack(have["v"].to_numpy()), k
-            )
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ["c", "q", "dim"]
-    best = (
-        asked.groupBy(*keys)
-        .cogroup(candidates.groupBy(*keys))
-        .applyInPandas(lambda a, b: meet(a, b), "query_id long, vec_id long, score long")
-    )
+    blocks = max(1, -(-asked.count() // query_block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    results: DataFrame | None = None
+    for block in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.col("block") == block)).select("vec_id", "v", "dim").toPandas()
+        by_dim = {int(d): (g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy())) for d, g in part.groupby("dim")}
+        sent = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            searches = {d: Search(ids, queries, k) for d, (ids, queries) in sent.value.items()}
+            for batch in batches:
+                for d, g in batch.groupby("dim"):
+                    if d in searches:
+                        searches[d].add(g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy()))
+            found = [r for s in searches.values() for r in s.rows()]
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+        best = rows.mapInPandas(run, "query_id long, vec_id long, score long")
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if blocks > 1:
+            ranked = cut(ranked)
+        results = ranked if results is None else results.unionByName(ranked)
+    return results.select("query_id", "rank", "vec_id", "score")
