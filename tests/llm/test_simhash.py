@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from oxbow.llm import simhash
 
@@ -70,6 +71,41 @@ def test_dense_keys_link_like_pairs(spark):
     assert found[0] == found[1] and found[0]
 
 
+@pytest.mark.parametrize("dense", [4, 1000])
+def test_pivots_discard_before_bits_are_compared(spark, dense):
+    """Pairs that meet, that the coordinate bound leaves, and that are linked, counted in turn; the bound never discards a link."""
+    seeded = random.Random(7)
+    half = seeded.getrandbits(32)
+    prints = {half << 32 | seeded.getrandbits(32) for _ in range(300)} | {seeded.getrandbits(64) for _ in range(300)}
+    prints |= {p ^ 1 << seeded.randrange(64) ^ 1 << seeded.randrange(64) for p in list(prints)[:100]}
+    frame = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    met = simhash.candidates(frame, dense=dense).selectExpr("l", "r", "bit_count(l.fp ^ r.fp) as bits")
+    passed = met.where(simhash.within_bound("l", "r"))
+    n_met, n_passed = met.count(), passed.count()
+    n_linked = met.where("bits <= 2").count()
+    assert passed.where("bits <= 2").count() == n_linked and n_linked >= 90
+    assert n_passed <= n_linked + n_met // 1000
+    if dense == 1000:
+        assert n_met > 30_000  # every pair that shares the half, of which next to none is linked
+    table = simhash.pivot_table(F.lit(5))
+    packed = spark.range(1).select(*table).first()
+    pivots = random.Random(simhash.SEED)
+    want = [bin(pivots.getrandbits(64) ^ 5).count("1") for _ in range(simhash.SCATTERED)]
+    assert [packed[i // 7] >> 8 * (i % 7) & 255 for i in range(simhash.SCATTERED)] == want
+
+
+def test_bound_equals_coordinate_differences(spark):
+    seeded = random.Random(8)
+    rows = [(seeded.getrandbits(63), 0) for _ in range(500)]
+    rows = [(a, a ^ sum(1 << b for b in seeded.sample(range(63), seeded.randrange(1, 8)))) for a, _ in rows]
+    struct = lambda c: F.struct(F.col(c).alias("fp"), *simhash.pivot_table(F.col(c))).alias(c)
+    frame = spark.createDataFrame(rows, "l long, r long").select(struct("l"), struct("r"))
+    for bits in (1, 2, 3):
+        for r in frame.select("l", "r", simhash.within_bound("l", "r", max_bits=bits).alias("ok")).collect():
+            unpack = lambda row: [row[1 + i // 7] >> 8 * (i % 7) & 255 for i in range(simhash.SCATTERED)]
+            assert r.ok == all(abs(a - b) <= bits for a, b in zip(unpack(r.l), unpack(r.r)))
+
+
 @pytest.mark.parametrize("repeat", [1, 3])
 def test_empty_and_representatives(spark, repeat):
     assert simhash.components(spark.createDataFrame([], SCHEMA)).count() == 0
