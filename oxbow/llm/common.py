@@ -19,11 +19,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests), a temporary folder."""
+    """Use the cluster's spark.checkpoint.dir. Where none is set, a local session (tests) takes a temporary folder; a cluster, whose
+    executors could not read that, is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="oxbow-checkpoint-"))
 
 

@@ -7,8 +7,8 @@ with a little of a logistic curve so that equal steps still rank (with few label
 
 Learning uses bounded samples, drawn by a hash of the id: DICTIONARY_DOCS texts a class for the dictionaries and CALIBRATION_DOCS
 texts for the curve. A dictionary learns SAMPLES_PER_TEXT chunks of SAMPLE_BYTES bytes of each of its texts, however long: the text is
-cut into so many even stretches, and each gives one chunk at a place seeded by the text (a text no longer than all chunks is learnt whole). Scoring covers every whole text, in one pass that
-shuffles nothing.
+cut into so many even stretches, and each gives one chunk at a place seeded by the text (a text no longer than all chunks is learnt
+whole). Scoring covers every whole text, in one pass that shuffles nothing.
 """
 
 from __future__ import annotations
@@ -158,7 +158,8 @@ def fit_curve(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the rows of `labels` (id, 0 or 1) whose documents are in `docs`.
 
-    Labels other than 0 and 1 are ignored; an id labelled more than once counts with its smallest label. With one class or none
+    Labels other than 0 and 1 are ignored; an id labelled more than once counts with its smallest label, and an id with several rows
+    with one of them (that of the least chunks, or of the least margin), so what the driver takes in is bounded. With one class or none
     the curve is flat at the share of good labels (one half if there are none).
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id"))
@@ -174,8 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     found = texts.join(F.broadcast(wanted), "__id")  # at most 4 * DICTIONARY_DOCS + 2 * CALIBRATION_DOCS rows
 
+    # One row an id, that of the least sample, so that the driver never sees more rows than ids.
     rows = found.where("__use = 'dictionary' and __text <> ''")
     rows = rows.select("__label", "__id", sample_udf(F.col("__text").cast("binary")).alias("__chunks"))
+    rows = rows.groupBy("__label", "__id").agg(F.min("__chunks").alias("__chunks"))
     by_label: dict[int, list[tuple[int, list[bytes]]]] = {0: [], 1: []}
     for row in rows.collect():
         by_label[row["__label"]].append((row["__id"], [bytes(c) for c in row["__chunks"]]))
@@ -184,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good, bad = (build_dictionary(s, size) for s in sets)
 
     curve = found.where("__use = 'curve'").select("__id", "__label", _margins(F.col("__text"), good, bad).alias("m"))
+    curve = curve.groupBy("__id", "__label").agg(F.min("m").alias("m"))
     points = sorted((r["__id"], r["__label"], r["m"]) for r in curve.collect())
     values, marks = np.array([p[2] for p in points]), np.array([p[1] for p in points], float)
     if len(set(marks)) < 2:

@@ -36,6 +36,32 @@ def test_learns_families_and_languages(spark):
     assert all((again.pairs[p] == model.pairs[p]).all() for p in model.pairs)
 
 
+def test_predictions_equal_a_plain_loop(spark):
+    """Every machine on every text alone, votes counted one by one."""
+    frame = spark.createDataFrame(corpus(120), SCHEMA)
+    model = langid.fit(frame)
+    texts = [r[1] for r in corpus(120)] + [None, "12", "é", "the eau"]
+    for text, (lang, score) in zip(texts, langid.predict_texts(texts, model)):
+        x = langid.features(text)
+        if x is None:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        family = max(model.languages, key=lambda f: sum(a * b for a, b in zip(x, model.families[f])))
+        votes = {one: 0 for one in model.languages[family]}
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                votes[a if sum(p * q for p, q in zip(x, w)) >= 0 else b] += 1
+        assert votes[lang] == max(votes.values()) and 0 <= score <= 1
+
+
+def test_dirty_languages_are_bounded(spark):
+    rows = [(i, f"words of {i}", "en" if i % 3 else f"odd{i}", "", "") for i in range(120)] + [(1, "words of 1", "en", "", "")] * 5
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), languages=5, sample=60)
+    assert sum(map(len, model.languages.values())) == 5 and model.languages["germanic"] == ["en"]
+    again = langid.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), languages=5, sample=60)
+    assert all((again.families[f] == model.families[f]).all() for f in model.families)
+
+
 def test_nothing_to_learn(spark):
     frame = spark.createDataFrame([(1, "words", None, "", "")], SCHEMA)
     model = langid.fit(frame)

@@ -68,6 +68,31 @@ def test_apply_mix_repeats_rows(spark):
     assert seen == {k: v for k, v in copies.items() if v}
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Rows of one id with other texts, and a row that makes up a third of the table: the words emitted are the words taken."""
+    made = rows() + [(1, "one " * 10, "a", "", "", ""), (1, "one " * 500, "a", "", "", ""), (2, "two " * 30, "a", "", "", "")]
+    made += [(7, "again and again and again and again", "b", "", "", "")] * 200
+    frame = spark.createDataFrame(made, SCHEMA).repartition(6)
+    taken, emitted = {}, {}
+    for r in mixing.mix(frame.select("*")).collect():
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        assert r.taken <= 2 * r["size"]
+        assert r.source_size and r.target >= 0
+    for r in mixing.apply_mix(frame).collect():
+        emitted[r.source] = emitted.get(r.source, 0) + len((r.text or "").split())
+    assert sorted(taken.values()) == sorted(emitted.get(s, 0) for s in {r[2] for r in made})
+    targets = {r.source_size: r.target for r in mixing.mix(frame).collect()}
+    assert all(abs(taken[size] - target) <= 7 for size, target in targets.items())
+
+
+def test_bulk_is_spread_over_lengths():
+    """Where each length is that of one document, the mix takes short, middle and long ones alike."""
+    lengths = np.arange(100, 20_100)
+    taken = mixing.fit_budget(lengths, np.ones(20_000, int), int(lengths.sum()) // 2)
+    assert int((taken * lengths).sum()) == int(lengths.sum()) // 2
+    assert all(0.4 < part.mean() < 0.6 for part in np.split(taken, 4))
+
+
 def test_fit_budget_is_exact_where_it_can_be():
     seeded = np.random.default_rng(2)
     for _ in range(40):
