@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,19 @@ def nfd_fold(text: Column) -> Column:
     return ascii_fold(_only_where_needed(text, _nfd))
 
 
+def with_nfd_folds(rows: DataFrame, folds: dict[str, str]) -> DataFrame:
+    """`rows` with columns (new name: column) that hold `nfd_fold` of others. Rows of ASCII alone form a branch of their own, which
+    needs no Python."""
+    odd = F.coalesce(F.concat_ws("", *(F.col(c) for c in folds.values())).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = rows.where(~odd).withColumns({new: ascii_fold(F.col(c)) for new, c in folds.items()})
+    return plain.unionByName(rows.where(odd).withColumns({new: ascii_fold(_nfd(F.col(c))) for new, c in folds.items()}))
+
+
+def nfd_token(text: str) -> str:
+    """A search token folded as `nfd_fold` folds texts."""
+    return unicodedata.normalize("NFD", text).translate(str.maketrans(UPPER, LOWER))
+
+
 def norm_key(path: Column) -> Column:
     return _only_where_needed(path, _simple_key)
 
@@ -155,8 +168,13 @@ def human_bytes(size: Column, base: int = 1024) -> Column:
     return shown
 
 
-def recency(seconds_ago: Column) -> Column:
-    return F.when(seconds_ago < 86_400, "day").when(seconds_ago < 7 * 86_400, "week").otherwise("older")
+def relative_time(seconds_ago: Column) -> Column:
+    """How long ago, in the largest whole unit: just now, 5m ago, 3h ago, 2d ago; later than now counts as now, null is empty."""
+    ago = F.greatest(F.floor(seconds_ago), F.lit(0))
+    shown = F.lit("just now")
+    for size, unit in ((60, "m"), (3_600, "h"), (86_400, "d")):
+        shown = F.when(ago >= size, F.concat(F.floor(ago / size).cast("string"), F.lit(f"{unit} ago"))).otherwise(shown)
+    return F.when(seconds_ago.isNull(), "").otherwise(shown)
 
 
 def path_form(root: str, path: Column, form: str) -> Column:

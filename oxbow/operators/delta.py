@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.meta import canonical_json
 from ..functions.text import is_under
 
 DRIFT_FIELDS = ["size_bytes", "extractor", "meta"]
@@ -15,18 +13,30 @@ VIEW_FIELDS = ["size_bytes", "mtime", "extractor", "meta", "is_symlink", "symlin
 
 
 def diff(old: DataFrame, new: DataFrame, fields: list[str] = DRIFT_FIELDS, key: str = "path") -> DataFrame:
-    """(key, change): added, removed or changed in one of `fields` (null equals null). Unchanged rows are left out."""
+    """(key, change): added, removed or changed in one of `fields` (null equals null). Unchanged rows are left out.
+
+    Metadata are compared as JSON values: texts that differ only in blanks or in the order of keys are equal. Only rows whose texts
+    differ, and which nothing else tells apart, are sent to be parsed.
+    """
     a = old.select(F.col(key), F.struct(*fields).alias("a"))
     b = new.select(F.col(key), F.struct(*fields).alias("b"))
     both = a.join(b, key, "full_outer")
+    plain = [f for f in fields if f != "meta"]
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
-    change = change.when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return both.select(key, change.alias("change")).where("change is not null")
+    for f in plain:
+        change = change.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), "changed")
+    if "meta" not in fields:
+        return both.select(key, change.alias("change")).where("change is not null")
+    marked = both.select(key, change.alias("change"), F.col("a.meta").alias("x"), F.col("b.meta").alias("y"))
+    sure = marked.where("change is not null").select(key, "change")
+    unsure = marked.where("change is null and not x <=> y")
+    changed = unsure.where(~canonical_json(F.col("x")).eqNullSafe(canonical_json(F.col("y"))))
+    return sure.unionByName(changed.select(key, F.lit("changed").alias("change")))
 
 
 def apply_delta(current: DataFrame, upserts: DataFrame, removed: DataFrame, key: str = "path") -> DataFrame:
     """`current` without removed and replaced rows, plus the upserts."""
-    gone = removed.select(key).unionByName(upserts.select(key)).distinct()
+    gone = removed.select(key).unionByName(upserts.select(key))
     return current.join(gone, key, "left_anti").select(*current.columns).unionByName(upserts.select(*current.columns))
 
 
@@ -69,13 +79,11 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "path") -> DataFra
 
 def sweep(current: DataFrame, seen: DataFrame, root: str = "", key: str = "path") -> DataFrame:
     """`current` without the rows at or below `root` that are not in `seen`."""
-    gone = current.where(is_under(F.col(key), root)).join(seen.select(key).distinct(), key, "left_anti").select(key)
-    return current.join(gone, key, "left_anti").select(*current.columns)
+    marks = seen.select(F.col(key).alias("__seen")).distinct()
+    inside = F.coalesce(is_under(F.col(key), root), F.lit(False))
+    joined = current.join(marks, inside & (F.col(key) == F.col("__seen")), "left")
+    return joined.where(~inside | F.col("__seen").isNotNull()).select(*current.columns)
 
 
 def known(current: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
     return current.join(keys.select(key).distinct(), key, "left_semi")
-
-
-def any_differs(fields: list[str], left: str, right: str) -> Column:
-    return reduce(or_, (~F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")) for f in fields))

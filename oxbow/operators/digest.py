@@ -1,18 +1,16 @@
 """Digests of catalogue content that leave out times.
 
-`row_digest` is distributed: rows are hashed where they are, and digests of hash ranges are combined, so neither a sort of the whole
-table nor one task with all rows is needed. `exact_digest` reproduces a digest of the canonical JSON text of all rows; it streams
-rows in path order through the driver and is meant for catalogues that fit one machine.
+Rows are hashed where they are, and digests of hash ranges are combined, so neither a sort of the whole table nor one task with all
+rows is needed. Metadata are hashed as JSON values, in one canonical text.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.meta import canonical_json
+
 FIELDS = ["path", "size_bytes", "extractor", "meta"]
 
 
@@ -24,21 +22,11 @@ def row_hash(fields: list[str] = FIELDS) -> Column:
 
 def row_digest(rows: DataFrame, fields: list[str] = FIELDS, prefix: int = 4) -> DataFrame:
     """One row (n_rows, digest): row hashes sorted within groups of a common prefix, then the groups' digests in order."""
+    if "meta" in fields:
+        rows = rows.withColumn("meta", canonical_json(F.coalesce("meta", F.lit("{}"))))
     hashed = rows.select(row_hash(fields).alias("h")).withColumn("p", F.substring("h", 1, prefix))
     ordered = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
     groups = hashed.groupBy("p").agg(F.sha2(ordered("h"), 256).alias("g"), F.count(F.lit(1)).alias("n"))
     top = groups.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "g"))).alias("gs"))
     digest = F.sha2(F.array_join(F.transform("gs", lambda g: g["g"]), ""), 256)
     return top.select(F.coalesce("n", F.lit(0)).alias("n_rows"), digest.alias("digest"))
-
-
-def exact_digest(catalog: DataFrame) -> str:
-    """SHA-256 of the compact JSON of path-sorted [path, size, extractor, meta] rows, keys sorted, other characters kept."""
-    out, first = hashlib.sha256(b"["), True
-    for row in catalog.select(*FIELDS).orderBy("path").toLocalIterator():
-        value = [row["path"], row["size_bytes"], row["extractor"], json.loads(row["meta"] or "{}")]
-        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        out.update(("" if first else ",").encode() + text.encode())
-        first = False
-    out.update(b"]")
-    return out.hexdigest()

@@ -9,7 +9,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_fold, basename
+from ..functions.text import basename, nfd_token, with_nfd_folds
 from .search import Search, condition, has, order, with_name
 
 BAND, FOLDERS = 20, 3
@@ -24,28 +24,28 @@ def tier_of(name: Column, path: Column, tokens: list[str]) -> Column:
     return F.when(in_name, 1).when(in_path, 2)
 
 
-def boundary(name: Column, tokens: list[str]) -> Column:
+def boundary(name: Column, tokens: list[str], folded: Column | None = None) -> Column:
     """Whether some token starts, at any of its places, at the name's start, after / - . _ or a digit, or as an upper-case letter
-    after any other. The last needs the name to have kept its length in folding, which ASCII folding guarantees."""
+    after any other. The last needs the name to have kept its length in folding; `folded` is its `nfd_fold`, if not ASCII alone."""
     parts = []
+    kept = F.lit(True) if folded is None else F.char_length(name) == F.char_length(folded)
     for token in filter(None, tokens):
         literal = re.escape(token)
-        parts.append(name.rlike(rf"(?i)(?:^|(?<=[/\-._0-9])){literal}"))
+        parts.append((name if folded is None else folded).rlike(rf"(?i)(?:^|(?<=[/\-._0-9])){literal}"))
         if token[0].isascii() and token[0].isalpha():
             rest = re.escape(token[1:])
-            parts.append(name.rlike(rf"(?<![A-Z]){token[0].upper()}(?i:{rest})"))
+            parts.append(kept & name.rlike(rf"(?<![A-Z]){token[0].upper()}(?i:{rest})"))
     return reduce(or_, parts) if parts else F.lit(False)
 
 
 def tree_rows(catalog: DataFrame, search: Search, found_elsewhere: DataFrame | None = None) -> DataFrame:
     """Files that pass the filters and hold every token in their path, or whose path is in `found_elsewhere` (path)."""
-    passing = catalog.where(condition(Search([], search.filters), "ui"))
-    path = F.col("path_fold") if "path_fold" in passing.columns else ascii_fold(F.col("path"))
-    in_path = reduce(and_, (has(path, t) for t in search.free), F.lit(True))
+    passing = with_nfd_folds(catalog.where(condition(Search([], search.filters), "ui")), {"__path": "path"})
+    in_path = reduce(and_, (has(F.col("__path"), nfd_token(t)) for t in search.free), F.lit(True))
     if found_elsewhere is None:
-        return passing.where(in_path)
+        return passing.where(in_path).drop("__path")
     marks = found_elsewhere.select("path", F.lit(True).alias("__found")).distinct()
-    return passing.join(marks, "path", "left").where(in_path | F.coalesce("__found", F.lit(False))).drop("__found")
+    return passing.join(marks, "path", "left").where(in_path | F.coalesce("__found", F.lit(False))).drop("__found", "__path")
 
 
 def folder_hits(dirs: DataFrame, tokens: list[str], k: int = FOLDERS) -> DataFrame:
@@ -53,7 +53,8 @@ def folder_hits(dirs: DataFrame, tokens: list[str], k: int = FOLDERS) -> DataFra
     if not tokens or k <= 0:
         return dirs.limit(0).select("path", F.lit(1).alias("rank"))
     name = basename(F.col("path"))
-    hits = dirs.where(reduce(and_, (has(ascii_fold(name), t) for t in tokens)))
+    folded = with_nfd_folds(dirs.withColumn("__name", name), {"__fold": "__name"})
+    hits = folded.where(reduce(and_, (has(F.col("__fold"), nfd_token(t)) for t in tokens)))
     top = hits.orderBy(F.char_length(name), "path").limit(k)
     rank = F.row_number().over(Window.orderBy(F.char_length(name), "path"))  # at most k rows
     return top.select("path", rank.alias("rank"))
@@ -72,12 +73,13 @@ def top_hits(
 
     Folders first (at most 3), then files that match every token, by tier, boundary and the sort; files that match some tokens fill
     up what is left and rank below. Files of `found_elsewhere` (path) match in tier 3. Without tokens all passing files rank by
-    the sort alone. Full matches sort above partial ones, so one bounded top-k serves both; whether partial ones may show
+    the sort alone. Composed and decomposed accents match. Full matches sort above partial ones, so one bounded top-k serves both; whether partial ones may show
     depends only on how many full ones the top holds.
     """
-    tokens = search.free
+    tokens = [nfd_token(t) for t in search.free]
     files = with_name(catalog).where(condition(Search([], search.filters), "ui"))
-    name, path = ascii_fold(F.col("name")), F.col("path_fold") if "path_fold" in files.columns else ascii_fold(F.col("path"))
+    files = with_nfd_folds(files, {"__name": "name", "__path": "path"})
+    name, path = F.col("__name"), F.col("__path")
     tier = tier_of(name, path, tokens)
     if tokens and found_elsewhere is not None:
         marks = found_elsewhere.select("path", F.lit(3).alias("__tier")).distinct()
@@ -88,13 +90,13 @@ def top_hits(
     partial_tier = F.when(
         reduce(and_, (~h | has(name, t) for h, t in zip(held, tokens)), F.lit(True)), 1
     ).otherwise(2)
-    partial_boundary = reduce(or_, (h & boundary(F.col("name"), [t]) for h, t in zip(held, tokens)), F.lit(False))
+    partial_boundary = reduce(or_, (h & boundary(F.col("name"), [t], name) for h, t in zip(held, tokens)), F.lit(False))
     full = tier.isNotNull()
     ranked = files.select(
         "path", "name", "category", "size_bytes", "mtime",
         F.coalesce(tier, partial_tier).alias("tier"),
         F.when(full, F.lit(len(tokens))).otherwise(matched).alias("matched"),
-        F.when(full, boundary(F.col("name"), tokens)).otherwise(partial_boundary).alias("boundary"),
+        F.when(full, boundary(F.col("name"), tokens, name)).otherwise(partial_boundary).alias("boundary"),
         full.alias("full"),
     ).where("full or matched > 0")
     best = [F.col("matched").desc(), F.col("tier"), F.col("boundary").desc(), *order(sort, collation)]

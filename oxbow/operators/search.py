@@ -22,7 +22,7 @@ PREFIXES = {
     "page": {"cat", "type", "ext", "dir", "obs"},
 }
 _ASCII_BLANKS = " \t\n\r\x0b\x0c"
-PAGE_LIMIT, LIST_LIMIT = 500, 5_000_000
+PAGE_LIMIT = 500
 
 
 @dataclass

@@ -250,6 +250,22 @@ def band_backfill(spark, sf_dir):
 _DIRS = "(SELECT DISTINCT array_to_string(list_slice(p, 1, n), '/') AS path FROM (SELECT string_split(path, '/') AS p FROM {0}) s, range(1, len(p)) r(n))"
 
 
+_ACCENTED = f"(SELECT * REPLACE (replace(path, 'doc_1', CASE WHEN size_bytes % 2 = 0 THEN 'Caf' || chr(233) || '_1' ELSE 'Caf' || 'e' || chr(769) || '_1' END) AS path) FROM {DOCS})"
+
+
+@register(
+    f"""WITH files AS (SELECT path, {NAME} AS name, size_bytes, replace({FOLD.format(NAME)}, chr(233), 'e' || chr(769)) AS folded FROM {_ACCENTED}),
+    best AS (SELECT * FROM files WHERE contains(folded, 'cafe' || chr(769)) ORDER BY size_bytes DESC, path LIMIT 20)
+    SELECT CAST(row_number() OVER (ORDER BY size_bytes DESC, path) AS INTEGER) AS rank, path, 1 AS tier, 1 AS matched, true AS boundary FROM best"""
+)
+def band_top20_accents(spark, sf_dir):
+    """Composed and decomposed names, found by a composed word."""
+    name = F.when(F.col("size_bytes") % 2 == 0, "Caf\u00e9_1").otherwise("Cafe\u0301_1")
+    docs = T.documents(spark, sf_dir).withColumn("path", F.replace("path", F.lit("doc_1"), name))
+    found = rank.top_hits(docs, search.parse("caf\u00e9", "ui"), sort="largest")
+    return found.select("rank", "path", "tier", "matched", "boundary")
+
+
 @register(
     f"""WITH hits AS (SELECT path, {NAME} AS name FROM {_DIRS.format(PART)} WHERE contains({FOLD.format(NAME)}, 'st'))
     SELECT path, CAST(row_number() OVER (ORDER BY length(name), path) AS INTEGER) AS rank FROM hits ORDER BY length(name), path LIMIT 3"""
@@ -456,6 +472,33 @@ def _order_graph(spark, sf_dir):
     return lineage.resolve(refs, customers.where("c_custkey % 3 <> 0").select(name("c_custkey").alias("path")))
 
 
+_COMMON = "(SELECT 'c' || (o_orderkey % 50) || '/d' || o_orderkey || '/README.md' AS path FROM orders)"
+
+
+@register(
+    """SELECT 'src/s' || o_orderkey || '.py' AS src, 'c' || (o_orderkey % 50) || '/d' || o_orderkey || '/README.md' AS dst
+    FROM orders WHERE o_orderkey % 2 = 0"""
+)
+def lineage_common_name(spark, sf_dir):
+    """Every file has the same name; a reference's folder tells which one is meant."""
+    key = F.col("o_orderkey").cast("string")
+    orders = T.read(spark, sf_dir, "orders").select(key.alias("k"), (F.col("o_orderkey") % 50).cast("string").alias("c"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    paths = orders.select(F.concat(F.lit("c"), "c", F.lit("/d"), "k", F.lit("/README.md")).alias("path"))
+    refs = orders.where("even").select(F.concat(F.lit("src/s"), "k", F.lit(".py")).alias("src"), F.concat(F.lit("/d"), "k", F.lit("/README.md")).alias("ref"))
+    return lineage.resolve(refs, paths).select("src", "dst")
+
+
+_EDGES = f"(SELECT DISTINCT src, ref FROM {_REFS} WHERE ref <> '')"
+
+
+@register(f"SELECT 'refs' AS direction, ref AS other, count(*) AS n FROM {_EDGES} GROUP BY ref UNION ALL SELECT 'ref_by', src, count(*) FROM {_EDGES} GROUP BY src")
+def page_neighbours(spark, sf_dir):
+    """How many refer to each reference of the pages, and to how many each page refers."""
+    edges = lineage.references(T.pages(spark, sf_dir)).select("src", "ref").distinct()
+    count = lambda d, c: edges.groupBy(F.col(c).alias("other")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(d).alias("direction"), "other", "n")
+    return count("refs", "ref").unionByName(count("ref_by", "src"))
+
+
 @register(
     f"""WITH e AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey)
     SELECT 'ref_by' AS direction, src AS other FROM e WHERE dst = 'ASIA' UNION ALL SELECT 'refs', dst FROM e WHERE src = 'CHINA'"""
@@ -504,12 +547,38 @@ def drift_diff(spark, sf_dir):
     return delta.diff(*_states(spark, sf_dir))
 
 
+@register("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'changed' AS change FROM orders WHERE o_orderkey % 13 = 0")
+def drift_json_reordered(spark, sf_dir):
+    """Metadata with other blanks and another order of keys are the same; another value is not."""
+    key = F.col("o_orderkey")
+    text = lambda form, value: F.format_string(form, value, F.col("o_orderpriority"))
+    rows = T.read(spark, sf_dir, "orders").select(key, "o_orderpriority").withColumns({"path": key.cast("string"), "size_bytes": key, "extractor": F.lit("x")})
+    old = rows.withColumn("meta", text('{"a":%d,"b":"%s"}', key))
+    new = rows.withColumn("meta", text('{ "b": "%2$s", "a": %1$d }', key + F.when(key % 13 == 0, 1).otherwise(0)))
+    return delta.diff(old, new)
+
+
 @register(
-    f"""WITH c AS (SELECT coalesce(a.path, b.path) AS path, {_CHANGE} AS change FROM {_OLD} a FULL JOIN {_NEW} b ON a.path = b.path)
+    """WITH c AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'added' WHEN o_orderkey % 9 = 0 THEN 'removed'
+      WHEN o_orderkey % 5 = 0 OR o_orderkey % 6 = 0 OR o_orderkey % 8 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 10 = 1 OR o_orderkey % 14 = 1
+        OR o_orderkey % 15 = 1 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 9 <> 0)
     SELECT change, count(*) AS n FROM c WHERE change IS NOT NULL GROUP BY change"""
 )
 def view_delta(spark, sf_dir):
-    return delta.diff(*_states(spark, sf_dir), ["size_bytes", "extractor", "meta"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    """Each of the seven fields changes in rows of its own."""
+    key = F.col("o_orderkey")
+
+    def state(later: bool) -> DataFrame:
+        flip = lambda n, r=0: (key % n == r) & F.lit(later)
+        fields = {
+            "path": key.cast("string"), "size_bytes": key + flip(5).cast("int"), "mtime": F.timestamp_seconds(key + flip(6).cast("int")),
+            "extractor": F.when(flip(8), "other").otherwise("doc"), "meta": F.when(~flip(11), '{"a":1}'), "is_symlink": flip(10, 1),
+            "symlink_target": F.when(flip(14, 1), "t"), "symlink_ok": F.when(flip(15, 1), False),
+        }
+        kept = key % 9 != 0 if later else key % 7 != 0
+        return T.read(spark, sf_dir, "orders").where(kept).select(*(c.alias(n) for n, c in fields.items()))
+
+    return delta.diff(state(False), state(True), delta.VIEW_FIELDS).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"SELECT path, size_bytes, extractor, meta FROM {_NEW}")
@@ -568,15 +637,15 @@ def known_keys(spark, sf_dir):
     return delta.known(events, events.where("size_bytes % 3 = 0")).select("path")
 
 
-_H = "sha256('+' || length(CAST(n_nationkey AS VARCHAR)) || ':' || n_nationkey || '+' || length(n_name) || ':' || n_name)"
+_H = "sha256('+' || length(CAST(p_partkey AS VARCHAR)) || ':' || p_partkey || '+' || length(p_name) || ':' || p_name)"
 
 
 @register(
-    f"""WITH h AS (SELECT {_H} AS h FROM nation), g AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY 1)
+    f"""WITH h AS (SELECT {_H} AS h FROM part), g AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(g, '' ORDER BY p)) AS digest FROM g"""
 )
 def digest_rowwise(spark, sf_dir):
-    return digest.row_digest(T.read(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])
+    return digest.row_digest(T.read(spark, sf_dir, "part"), ["p_partkey", "p_name"])
 
 
 # Functions over texts, names and JSON

@@ -7,7 +7,6 @@ are upserted, vanished ones deleted with everything below. Doing so twice change
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,33 +48,83 @@ def storm(marks: DataFrame, most: int = STORM) -> DataFrame:
     return marks.agg(F.count(F.lit(1)).alias("n_points")).withColumn("rescan", F.col("n_points") > most)
 
 
+def gone(catalog: DataFrame, dirty: DataFrame, found: DataFrame) -> DataFrame:
+    """Paths of `catalog` at or below a dirty mark (path) that are not in `found`. Marks are few (see `storm`) and broadcast."""
+    at = F.array_union(F.array(F.col("path")), F.concat(F.array(F.lit("")), ancestors(F.col("path"))))
+    marks = F.broadcast(dirty.select(F.col("path").alias("mark")).distinct())
+    touched = catalog.select("path", F.explode(at).alias("mark")).join(marks, "mark").select("path").distinct()
+    return touched.join(found.select("path"), "path", "left_anti")
+
+
 def reconcile(catalog: DataFrame, dirty: DataFrame, found: DataFrame) -> DataFrame:
     """`catalog` after looking at the dirty marks: `found` has the rows now at or below them.
 
     Rows at or below a recursive mark, or at or below a point that is gone, leave unless found again; found rows replace their
-    own. A point whose file is still there touches nothing else.
+    own. A point whose file is still there touches nothing else. Excluded paths count as gone, even where they are found.
     """
-    at = F.array_union(F.array(F.col("path")), F.concat(F.array(F.lit("")), ancestors(F.col("path"))))
-    marks = dirty.select(F.col("path").alias("mark"))
-    touched = catalog.select("path", F.explode(at).alias("mark")).join(marks, "mark").select("path").distinct()
-    gone = touched.join(found.select("path"), "path", "left_anti")
-    return upsert(catalog.join(gone, "path", "left_anti").select(*catalog.columns), found)
+    found = found.where(~excluded(F.col("path")))
+    return upsert(catalog.join(gone(catalog, dirty, found), "path", "left_anti").select(*catalog.columns), found)
 
 
-def follow(events: DataFrame, store, look: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None, name: str = "oxbow"):
-    """Start a query that reconciles `store` (see sources.catalogue.Store) with each batch of events (path, recursive).
+def ready(events: DataFrame, now: Column, owners: DataFrame | None = None) -> DataFrame:
+    """Events (ts, path, recursive) with `ready`: whether they may be handled at `now`.
+
+    A burst waits until it has been quiet for QUIET, or has lasted LONGEST; events at paths that an operation in progress owns wait
+    for that (see `defer`).
+    """
+    spans = F.broadcast(bursts(events).select("first", "last"))  # bursts lie QUIET apart, so a batch has few
+    timed = events.join(spans, (F.col("ts") >= F.col("first")) & (F.col("ts") <= F.col("last")))
+    calm = (now >= F.col("last") + F.expr(f"interval {QUIET}")) | (now >= F.col("first") + F.expr(f"interval {LONGEST}"))
+    timed = timed.withColumn("ready", calm).drop("first", "last")
+    if owners is None:
+        return timed
+    held = defer(timed, owners)
+    return held.withColumn("ready", F.col("ready") & (F.col("drain_at") <= now)).drop("drain_at")
+
+
+def follow(
+    events: DataFrame,
+    store,
+    look: Callable[[DataFrame], DataFrame],
+    checkpoint: str,
+    trigger: dict | None = None,
+    name: str = "oxbow",
+    owners: Callable[[], DataFrame] | None = None,
+    now: Callable[[], Column] = F.current_timestamp,
+):
+    """Start a query that reconciles `store` (see sources.catalogue.Store) with each batch of events (path, recursive) or (ts, path,
+    recursive).
 
     `look(marks)` returns the catalogue rows now at or below the marks, and must raise where something can not be read: the batch
-    then fails and is tried again, rather than emptying the catalogue. One query per checkpoint is the single writer.
+    then fails and is tried again, rather than emptying the catalogue. One query per checkpoint is the single writer. Events with
+    times that are not `ready` yet, for a burst goes on or for an owner of `owners()` works there, are kept below the store's folder
+    and come back with the next batch. Only the buckets that hold touched paths are read in whole and written again.
     """
+    spark = events.sparkSession
+
+    def kept(batch_id: int) -> str:
+        return f"{store.folder}/pending-{name}/{batch_id:012d}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if "ts" in batch.columns:
+            batch = batch.select("ts", "path", "recursive")
+            if batch_id:
+                batch = batch.unionByName(spark.read.schema(batch.schema).parquet(kept(batch_id - 1)))
+            marked = ready(batch, now(), owners() if owners else None)
+            marked.write.mode("overwrite").partitionBy("ready").parquet(f"{kept(batch_id)}-all")
+            marked = spark.read.schema(marked.schema).parquet(f"{kept(batch_id)}-all")
+            marked.where("not ready").drop("ready").write.mode("overwrite").parquet(kept(batch_id))
+            batch = marked.where("ready")
         marks = subsume(batch.where(~excluded(F.col("path"))).select("path", "recursive"))
         if marks.isEmpty():
             return
         if storm(marks).first()["rescan"]:
-            marks = batch.sparkSession.createDataFrame([("", True)], "path string, recursive boolean")
-        store.publish(reconcile(store.read(), marks, look(marks)), generation=batch_id)
+            marks = spark.createDataFrame([("", True)], "path string, recursive boolean")
+        catalog, found = store.read(), look(marks)
+        left = gone(catalog, marks, found)
+        buckets = store.touched(left.select("path").unionByName(found.select("path")))
+        if buckets:
+            store.publish(reconcile(store.read(only=buckets), marks, found), generation=batch_id, only=buckets)
 
     writer = events.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": LONGEST})).start()
@@ -128,12 +177,3 @@ def defer(events: DataFrame, owners: DataFrame, drain_seconds: float = 0.5) -> D
     last = hit.groupBy("ts", "path").agg(F.max("__end").alias("__end"))
     wait = F.expr(f"interval {drain_seconds} seconds")
     return events.join(last, ["ts", "path"], "left").withColumn("drain_at", F.coalesce(F.col("__end") + wait, F.col("ts"))).drop("__end")
-
-
-def exists(root: str, path: str) -> bool:
-    """Whether a path or a link is there; an error other than its absence is raised."""
-    try:
-        os.lstat(os.path.join(root, path))
-    except FileNotFoundError:
-        return False
-    return True

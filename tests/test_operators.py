@@ -123,6 +123,36 @@ def test_resolver(spark):
     assert [(r.src, r.ref, r.dst, resolve_by_hand(r.ref, r.src, paths)) for r in found if r.dst != resolve_by_hand(r.ref, r.src, paths)] == []
 
 
+def test_common_names_do_not_multiply(spark):
+    """References to a name that all files share: rows in proportion, and every folder told apart."""
+    for n in (50, 200):
+        paths = [(f"p{i}/x{i}/README.md",) for i in range(n)]
+        refs = [(f"s{i}.md", f"/x{i}/README.md") for i in range(n)]
+        found = lineage.resolve(spark.createDataFrame(refs, "src string, ref string"), spark.createDataFrame(paths, "path string"))
+        assert {(r.src, r.dst) for r in found.collect()} == {(f"s{i}.md", f"p{i}/x{i}/README.md") for i in range(n)}
+
+
+def test_file_like_words(spark):
+    text = "read('a/x.csv') then \"lib/y.tar.gz\", plot.PNG; not/a/dir word.txt.bak z.py? /q.md a/b/c.unknown"
+    found = spark.createDataFrame([(text,)], "t string").select(lineage.file_like(F.col("t"))).first()[0]
+    assert found == ["read('a/x.csv".split("'")[1], "lib/y.tar.gz", "x.csv", "y.tar.gz", "plot.PNG", "word.txt", "z.py", "q.md"]
+
+
+def test_drift_compares_values(spark):
+    schema = "path string, size_bytes int, extractor string, meta string"
+    old = spark.createDataFrame([("a", 1, "x", '{"a":1,"b":2}'), ("b", 1, "x", '{"a":1}'), ("c", 1, "x", None), ("d", 1, "x", "{")], schema)
+    new = spark.createDataFrame([("a", 1, "x", '{"b": 2, "a": 1}'), ("b", 1, "x", '{"a":2}'), ("c", 1, "x", "{}"), ("d", 1, "x", "{")], schema)
+    assert {(r.path, r.change) for r in delta.diff(old, new).collect()} == {("b", "changed"), ("c", "changed")}
+
+
+def test_accents_meet(spark):
+    rows = spark.createDataFrame([(1, "caf\u00e9.md"), (2, "x/Cafe\u0301.md"), (3, "cafe.md"), (4, None)], "i int, name string")
+    folded = X.with_nfd_folds(rows, {"f": "name"})
+    assert {r.i for r in folded.where(folded.f.contains(X.nfd_token("CAF\u00c9"))).collect()} == {1, 2} and folded.count() == 4
+    ago = spark.createDataFrame([(5.0,), (300.0,), (7300.0,), (200_000.0,), (-9.0,), (None,)], "s double").select(X.relative_time(F.col("s")))
+    assert [r[0] for r in ago.collect()] == ["just now", "5m ago", "2h ago", "2d ago", "just now", ""]
+
+
 def test_references(spark):
     refs = ["./a/b.md#x", "`c.csv`", "http://x/y.md", "mailto:a@b", "d\\e.txt/", "?q", " f.md "]
     found = spark.createDataFrame([(r,) for r in refs], "r string").where(~lineage.is_external(F.col("r"))).select(lineage.normal_ref(F.col("r")))

@@ -42,6 +42,55 @@ def test_events_keep_the_catalogue_current(spark, tmp_path):
     assert store.generation() == generation  # nothing to do, nothing published
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    """Two batches: each writes the buckets of its own paths alone; held-back events come with the next batch."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    schema = "path string, size_bytes long"
+    store = catalogue.Store(spark, str(tmp_path / "store"), buckets=8)
+    store.publish(spark.createDataFrame([(f"d/{i}", i) for i in range(40)] + [("d/.git/x", 1)], schema))
+    first = store._entry()["parts"]
+    assert len(first) == 8 and store.read().count() == 41
+    disk = {f"d/{i}": i for i in range(40)}
+
+    def look(marks):
+        found = [(r.path, disk[r.path]) for r in marks.collect() if r.path in disk]
+        return spark.createDataFrame(found, schema)
+
+    stream = spark.readStream.schema("ts timestamp, path string, recursive boolean").json(str(inbox))
+    run = lambda at, owners=None: live.follow(
+        stream, store, look, str(tmp_path / "cp"), {"availableNow": True}, "b", owners, lambda: F.lit(at).cast("timestamp")
+    ).awaitTermination()
+    event = lambda t, p: json.dumps({"ts": f"2024-01-01T00:00:{t}", "path": p, "recursive": False})
+    disk["d/3"] = 300
+    del disk["d/4"]
+    (inbox / "1.json").write_text("\n".join([event("00.0", "d/3"), event("00.1", "d/4"), event("01.0", "d/5")]))
+    disk["d/5"] = 500
+    run("2024-01-01 00:00:01.1")  # the second burst is not quiet yet
+    rows = {r.path: r.size_bytes for r in store.read().collect()}
+    assert rows["d/3"] == 300 and "d/4" not in rows and rows["d/5"] == 5
+    second = store._entry()["parts"]
+    touched = set(map(str, store.touched(spark.createDataFrame([("d/3",), ("d/4",)], "path string"))))
+    assert {b for b in first if second.get(b) != first[b]} == touched and len(touched) <= 2
+
+    owners = lambda: spark.sql(
+        "select 'd/7' as root, true as subtree, timestamp'2024-01-01 00:01:00' as lease_until, cast(null as timestamp) as retired_at"
+    )
+    disk["d/7"] = 700
+    (inbox / "2.json").write_text(event("05.0", "d/7"))
+    run("2024-01-01 00:00:09", owners)
+    rows = {r.path: r.size_bytes for r in store.read().collect()}
+    assert rows["d/5"] == 500 and rows["d/7"] == 7
+    (inbox / "3.json").write_text(event("59.0", "d/4"))
+    run("2024-01-01 00:02:00", owners)
+    rows = {r.path: r.size_bytes for r in store.read().collect()}
+    assert rows["d/7"] == 700 and "d/4" not in rows
+    assert store.read(1).count() == 41 and store.generation() >= 3
+
+    marks, found = spark.createDataFrame([("d/.git", True)], "path string, recursive boolean"), spark.createDataFrame([("d/.git/x", 1)], schema)
+    assert live.reconcile(store.read(), marks, found).where("path = 'd/.git/x'").isEmpty()  # excluded, though there
+
+
 def test_health_and_resume(spark, tmp_path):
     import time
 
