@@ -648,6 +648,41 @@ def digest_rowwise(spark, sf_dir):
     return digest.row_digest(T.read(spark, sf_dir, "part"), ["p_partkey", "p_name"])
 
 
+# Metadata and events derived from `events`
+
+
+def _described(spark, sf_dir) -> DataFrame:
+    """Events as matrices with observation columns n0 to n2, and as figures with labels."""
+    n = lambda k: (F.col("size_bytes") % k).cast("string")
+    obs = F.concat(F.lit('{"obs_columns":["Cell","N'), n(3), F.lit('"],"obsm":{"X_'), n(5), F.lit('":[9,2]},"figure_text":["Axis","B'), n(4), F.lit('"]}'))
+    return T.events(spark, sf_dir).withColumn("meta", obs)
+
+
+@register(f"SELECT path FROM {EVENTS} WHERE size_bytes % 3 = 1")
+def filter_obs_page(spark, sf_dir):
+    return search.search(_described(spark, sf_dir), "obs:n1", "page").select("path")
+
+
+@register(f"SELECT path FROM {EVENTS} WHERE size_bytes % 3 = 2 AND size_bytes % 5 = 1")
+def find_has_obs_and_obsm(spark, sf_dir):
+    return search.filter_files(_described(spark, sf_dir), has_obs="N2", has_obsm="X_1").select("path")
+
+
+@register(f"SELECT path, 'axis b' || (size_bytes % 4) AS labels FROM {EVENTS}")
+def figure_text_split(spark, sf_dir):
+    return _described(spark, sf_dir).select("path", M.figure_text(F.col("meta")).alias("labels"))
+
+
+@register(
+    f"""SELECT path, CASE WHEN starts_with(path, 'click/user_1/') AND mtime <= TIMESTAMP '2024-01-15 00:00:00'
+      THEN TIMESTAMP '2024-01-15 00:00:00.5' ELSE mtime END AS drain_at FROM {EVENTS}"""
+)
+def defer_events(spark, sf_dir):
+    owners = spark.sql("select 'click/user_1' as root, true as subtree, timestamp'2024-01-15 00:00:00' as lease_until, cast(null as timestamp) as retired_at")
+    events = T.events(spark, sf_dir).select(F.col("mtime").alias("ts"), "path")
+    return live.defer(events, owners).select("path", "drain_at")
+
+
 # Functions over texts, names and JSON
 
 

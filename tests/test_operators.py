@@ -218,3 +218,10 @@ def test_display_bytes_shows_long_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     shown = sorted(r.shown for r in queries.display_bytes(spark, str(tmp_path)).collect())
     assert shown == sorted(["0 B", "1023 B", "1.0 KB", "1.5 KB", "1024.0 KB", "1.0 MB", "3.1 MB"])
+
+
+def test_directory_order(spark):
+    totals = spark.createDataFrame([("b", 1, 5), ("a", 1, 9), ("c", 3, 1)], "dir string, newest int, total_bytes int").withColumn("oldest", F.col("newest"))
+    order = lambda by: [r.dir for r in tree.sort_directories(totals, by).collect()]
+    assert order("name") == ["a", "b", "c"] and order("newest") == ["c", "a", "b"] and order("oldest") == ["a", "b", "c"]
+    assert order("largest") == ["a", "b", "c"] and order("smallest") == ["c", "b", "a"]
