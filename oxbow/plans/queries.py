@@ -166,7 +166,7 @@ def search_stored_columns(spark, sf_dir):
 
 
 @register(
-    f"""SELECT path, CAST(least(len(r), 2) AS INTEGER) AS n_kept, CAST(len(r) AS INTEGER) AS n_total
+    f"""SELECT path, CAST(least(len(r), 2) AS INTEGER) AS n_kept, CAST(CASE WHEN len(r) > 2 THEN len(r) END AS INTEGER) AS n_total
     FROM (SELECT path, regexp_extract_all(html, 'href="([^"]*)"', 1) AS r FROM {PAGES})"""
 )
 def lean_projection(spark, sf_dir):
@@ -395,24 +395,40 @@ def ext_category_map(spark, sf_dir):
 
 
 @register(
-    f"""SELECT category, count(*) AS n, CAST(CASE category WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS INTEGER) AS position
+    f"""SELECT category, count(*) AS n, max(mtime) AS newest, CAST(CASE category WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS INTEGER) AS position
     FROM {EVENTS} GROUP BY category"""
 )
 def category_groups(spark, sf_dir):
-    return facets.category_groups(T.events(spark, sf_dir), ["purchase", "click"]).drop("newest")
+    return facets.category_groups(T.events(spark, sf_dir), ["purchase", "click"])
 
 
 _ABOVE = "[d FOR d IN [array_to_string(list_slice(string_split(path, '/'), 1, n), '/') FOR n IN range(1, len(string_split(path, '/')))]"
 
 
 @register(
-    f"""WITH hits AS (SELECT *, coalesce(list_extract({_ABOVE} IF contains({FOLD.format("list_extract(string_split(d, '/'), -1)")}, 'promo')], 1), {PARENT}) AS dir
-      FROM {PART}), g AS (SELECT dir, count(*) AS n FROM hits GROUP BY dir)
-    SELECT dir, n, CAST(CASE WHEN {FOLD.format("list_extract(string_split(dir, '/'), -1)")} = 'promo' THEN 0
-      WHEN contains({FOLD.format("list_extract(string_split(dir, '/'), -1)")}, 'promo') THEN 1 ELSE 2 END AS INTEGER) AS relevance FROM g"""
+    f"""WITH hits AS (SELECT *, coalesce(list_extract({_ABOVE} IF contains(lower(list_extract(string_split(d, '/'), -1)), 'promo')], 1), {PARENT}) AS dir
+      FROM {PART}), g AS (SELECT dir, count(*) AS n, max(mtime) AS newest FROM hits GROUP BY dir)
+    SELECT dir, n, newest, CAST(CASE WHEN contains(lower(list_extract(string_split(dir, '/'), -1)), 'promo') THEN 0
+      WHEN contains(lower(dir), 'promo') THEN 1 ELSE 2 END AS INTEGER) AS relevance, CAST(len(string_split(dir, '/')) AS INTEGER) AS depth FROM g"""
 )
 def folder_groups(spark, sf_dir):
-    return facets.folder_groups(T.parts(spark, sf_dir), "promo").drop("newest")
+    return facets.folder_groups(T.parts(spark, sf_dir), "promo")
+
+
+def _counts_sql(column: str) -> str:
+    return f"(SELECT array_to_string(list(v || '=' || n ORDER BY v), ' ') FROM (SELECT {column} AS v, count(*) AS n FROM {PART} GROUP BY 1))"
+
+
+@register(f"SELECT {_counts_sql('category')} AS by_category, {_counts_sql('ext')} AS by_ext")
+def summary_maps(spark, sf_dir):
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias(c)
+    return facets.summary_maps(T.parts(spark, sf_dir)).select(shown("by_category"), shown("by_ext"))
+
+
+@register(f"SELECT path, size_bytes AS n_obs FROM {EVENTS} WHERE category = 'click' AND size_bytes % 2 = 0 ORDER BY n_obs DESC, path LIMIT 12")
+def widest_matrices(spark, sf_dir):
+    shaped = T.events(spark, sf_dir).withColumn("n_obs", F.when(F.col("size_bytes") % 2 == 0, F.col("size_bytes")))
+    return facets.widest(shaped, category="click").select("path", "n_obs")
 
 
 @register(

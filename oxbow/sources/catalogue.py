@@ -166,18 +166,34 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return items.select("value", fields.alias("e")).select(*_fields())
 
 
-def lean(catalog: DataFrame, most: int = 48, keys: tuple[str, ...] = ("columns", "obs_columns", "var_columns", "defs", "imports", "outbound_refs")) -> DataFrame:
-    """(path, <key>, n_<key>_total): list metadata cut to `most` items, with how many there are."""
+# Metadata lists that a lean row cuts.
+LONG_LISTS = (
+    "columns", "defs", "classes", "imports", "uns_keys", "layers", "obsp", "varm", "members", "datasets", "outbound_refs", "top_level_keys",
+)
+
+
+def lean(catalog: DataFrame, most: int = 48, keys: tuple[str, ...] = LONG_LISTS, paragraph: int = 600) -> DataFrame:
+    """(path, <key>, n_<key>_total, first_paragraph): long lists of the metadata cut to `most` items, with how many there are where some
+    were cut, and a paragraph cut to `paragraph` characters and an ellipsis. Figure labels are left out."""
     lists = {k: M.strings_at(F.col("meta"), k) for k in keys}
+    text = F.get_json_object("meta", "$.first_paragraph")
     return catalog.select(
         "path",
         *(F.slice(v, 1, most).alias(k) for k, v in lists.items()),
-        *(F.when(v.isNotNull(), F.size(v)).alias(f"n_{k}_total") for k, v in lists.items()),
+        *(F.when(F.size(v) > most, F.size(v)).alias(f"n_{k}_total") for k, v in lists.items()),
+        F.when(F.char_length(text) > paragraph, F.concat(F.substring(text, 1, paragraph), F.lit("…"))).otherwise(text).alias("first_paragraph"),
     )
 
 
 def header(catalog: DataFrame, digest: str) -> str:
     """The one-document header of a manifest, as JSON."""
-    from ..operators.facets import summary
+    from ..operators.facets import summary, summary_maps
+
+    counts = summary(catalog).first().asDict() | summary_maps(catalog).first().asDict()
+    return json.dumps({"schema_version": "1.0", "content_digest": digest, "summary": counts})
+
 
-    return json.dumps({"schema_version": "1.0", "content_digest": digest, "summary": summary(catalog).first().asDict()})
+def write_index(catalog: DataFrame, digest: str, path: str) -> None:
+    """A manifest in two parts that any reader of lines can put together: `header`, and beside it the entries in path order."""
+    catalog.sparkSession.createDataFrame([(header(catalog, digest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    write_jsonl(catalog, f"{path}/entries")

@@ -256,6 +256,11 @@ def shell_source(path: str) -> dict:
     return {"shebang": shebang, "first_comment": comment}
 
 
+# Characters of a figure's words, and those that numbers alone are made of.
+WORD_CHARACTERS = r"A-Za-z0-9_.:+\-"
+NUMBER_CHARACTERS = r"\d.:+\-"
+
+
 @register("figure_text", "svg")
 def drawing(path: str) -> dict:
     """Words a figure shows: its text elements, or the comments and titles that name its glyph groups; once each, lower case."""
@@ -269,8 +274,8 @@ def drawing(path: str) -> dict:
     shown = [re.sub(r"<[^>]+>", " ", t) for t in re.findall(r"(?s)<(?:text|title)\b[^>]*>(.*?)</(?:text|title)>", text)]
     groups = re.findall(r'(?s)<g id="text_\d+">(.*?)</g>', text)
     glyphs = ["".join(chr(int(h, 16)) for h in re.findall(r'(?:xlink:)?href="#[^"]*-([0-9a-fA-F]{2,6})"', g)) for g in groups]
-    words = re.findall(r"\S+", " ".join([*shown, *glyphs]).lower())
-    kept = list(dict.fromkeys(w for w in words if 2 <= len(w) <= 40 and not re.fullmatch(r"[\d.,+\-−%eE]+", w)))
+    words = re.findall(f"[{WORD_CHARACTERS}]+", " ".join([*shown, *glyphs]).lower())
+    kept = list(dict.fromkeys(w for w in words if 2 <= len(w) <= 40 and not re.fullmatch(f"[{NUMBER_CHARACTERS}]+", w)))
     mode = "text" if shown else "glyph" if glyphs else "none"
     return {"figure_text": kept, "figure_text_mode": mode} | ({"figure_text_truncated": True} if size > DRAWN else {})
 

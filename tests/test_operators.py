@@ -225,3 +225,11 @@ def test_directory_order(spark):
     order = lambda by: [r.dir for r in tree.sort_directories(totals, by).collect()]
     assert order("name") == ["a", "b", "c"] and order("newest") == ["c", "a", "b"] and order("oldest") == ["a", "b", "c"]
     assert order("largest") == ["a", "b", "c"] and order("smallest") == ["c", "b", "a"]
+
+
+def test_stored_links(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", "doc_ref"), ("c", "d", "code_ref")], lineage.LINK)
+    lineage.write_links(edges, str(tmp_path / "links"))
+    (tmp_path / "links" / "more.json").write_text('not json\n{"src": "x"}\n')
+    assert sorted(map(tuple, lineage.read_links(spark, str(tmp_path / "links")).collect())) == sorted(map(tuple, edges.collect()))
+    assert lineage.read_links(spark, str(tmp_path / "nothing")).count() == 0

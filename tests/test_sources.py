@@ -165,3 +165,15 @@ def test_interchange(spark, root, tmp_path_factory):
     found = {r.value: r for r in extract.describe_requests(asked, root).collect()}
     assert len(found) == 4 and found['{"path": "tables/cells.csv"}'].error is None and all(found[v].error for v in found if "cells" not in v)
     assert catalogue.lean(built, 2).where("path = 'tables/cells.csv'").select("columns", "n_columns_total").first() == (["gene", "score"], 3)
+
+
+def test_lean_rows_and_index(spark, root, tmp_path):
+    meta = json.dumps({"columns": [f"c{i}" for i in range(60)], "defs": ["a"], "first_paragraph": "x" * 700})
+    row = catalogue.lean(spark.createDataFrame([("p", meta)], "path string, meta string")).first()
+    assert len(row["columns"]) == 48 and row["n_columns_total"] == 60 and row["defs"] == ["a"] and row["n_defs_total"] is None
+    assert row["first_paragraph"] == "x" * 600 + "…" and row["n_layers_total"] is None
+    built = catalogue.build(spark, root)
+    catalogue.write_index(built, "d1", str(tmp_path / "index"))
+    head = json.loads(spark.read.text(str(tmp_path / "index" / "header")).first().value)
+    assert head["content_digest"] == "d1" and sum(head["summary"]["by_category"].values()) == sum(head["summary"]["by_ext"].values()) == built.count()
+    assert catalogue.read_jsonl(spark, str(tmp_path / "index" / "entries"), strict=True).count() == built.count()
