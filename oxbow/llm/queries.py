@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chatfmt, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk
+from . import bpe, chatfmt, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk
 from .common import learning_share, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(load(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license": op1_license,
@@ -122,6 +129,7 @@ def queries() -> dict[str, Query]:
         "op8_linededup": op8_linededup,
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
+        "op11_bpe": op11_bpe,
     }
 
 
