@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk
+from . import bpe, chatfmt, filter_audit, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk
 from .common import learning_share, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,48 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), f AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM d
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT c.*, filter_order, step, contains(fails, filter_order[step]) AS own,
+    fails <> '' AND regexp_matches(left(filter_order, step - 1), '[-' || fails || ']') AS earlier, filter_order[step] AS letter
+  FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(sum(CASE WHEN NOT own AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN own THEN n * 120 // length(fails) ELSE 0 END) AS BIGINT) AS shapley
+FROM s GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license": op1_license,
@@ -130,6 +172,7 @@ def queries() -> dict[str, Query]:
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
         "op11_bpe": op11_bpe,
+        "op13_audit": op13_audit,
     }
 
 
@@ -137,4 +180,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat": OP5_SQL,
         "op9_topk": OP9_SQL,
+        "op13_audit": OP13_SQL,
     }
