@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, filter_audit, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk
+from . import bpe, chatfmt, filter_audit, langid, license_scan, linededup, mixing, packing, quality_rules, quality_zstd, simhash, topk, whitening
 from .common import learning_share, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -172,6 +176,7 @@ def queries() -> dict[str, Query]:
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
         "op11_bpe": op11_bpe,
+        "op12_whitening": op12_whitening,
         "op13_audit": op13_audit,
     }
 
