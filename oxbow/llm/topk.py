@@ -32,16 +32,17 @@ _CHUNK = 256
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, dim) with v = floor(scale * x) as longs, without vectors that are null or hold null or non-finite components.
+    """(row, vec_id, v, dim) with v = floor(scale * x) as longs, without vectors that are null or hold null or non-finite components.
 
-    Rows that share an id count once, with the smallest vector; rows without an id take no part.
+    `row` numbers the rows, so that rows of one id stay apart; rows without an id take no part.
     """
     x = F.col(vector_col)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     whole = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, finite))
     ints = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    rows = whole.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return whole.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"), F.size(ints).alias("dim")
+    )
 
 
 def limbs(vectors: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
@@ -76,17 +77,21 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """The k best candidates of each query of a block, over batches of candidates; ties go to the smaller id.
 
+    Rows have an id and a number of their own (where none is given, the id); a query's own row is no candidate for it.
+
     `alive` sums up, for each group of dimensions, the pairs that its bound left and the pairs there were.
     """
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, group: int = DIMENSION_GROUP):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, group: int = DIMENSION_GROUP, own: np.ndarray | None = None):
         self.ids, self.queries, self.k, self.group = ids, queries, k, group
+        self.own = ids if own is None else own
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
         self.floor = np.full(len(ids), -np.inf)
         self.alive: dict[int, list[int]] = {}
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray | None = None) -> None:
         n, dim = vectors.shape
+        own = ids if own is None else own
         if not n or not len(self.ids):
             return
         real, asked = vectors.astype(np.float64), self.queries.astype(np.float64)
@@ -106,7 +111,7 @@ class Search:
                 if pairs is None:
                     score += lead[:, span] @ columns[span][:, left]
                     if g == 0:
-                        self._raise_floors(at, score, ids, vectors)
+                        self._raise_floors(at, score, own, vectors)
                         floor = self.floor[at]
                     open_ = score + tails[g][0][at, None] * tails[g][1][None, left] >= (floor - slack)[:, None]
                     share = open_.mean()
@@ -124,21 +129,21 @@ class Search:
                     open_ = sums + tails[g][0][begin + i] * tails[g][1][j] >= floor[i] - slack
                     self._count(g, int(open_.sum()), n * len(lead))
                     pairs, sums = (i[open_], j[open_]), sums[open_]
-            self._merge(begin, *pairs, ids, vectors)
+            self._merge(begin, *pairs, ids, own, vectors)
 
-    def _raise_floors(self, at: slice, score: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _raise_floors(self, at: slice, score: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> None:
         """Exact scores of the candidates that lead after the first group, where a query has no floor yet."""
         for i in np.flatnonzero(np.isinf(self.floor[at])):
-            if len(ids) > self.k:
-                first = np.argpartition(-score[i], min(4 * self.k, len(ids) - 1))[: 4 * self.k]
-                first = first[ids[first] != self.ids[at][i]]
+            if len(own) > self.k:
+                first = np.argpartition(-score[i], min(4 * self.k, len(own) - 1))[: 4 * self.k]
+                first = first[own[first] != self.own[at][i]]
                 if len(first) >= self.k:
                     exact = exact_scores(np.broadcast_to(self.queries[at][i], vectors[first].shape), vectors[first])
                     self.floor[at.start + i] = float(sorted(exact.tolist(), reverse=True)[self.k - 1])
 
-    def _merge(self, begin: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        own = ids[j] != self.ids[begin + i]
-        i, j = i[own], j[own]
+    def _merge(self, begin: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> None:
+        other = own[j] != self.own[begin + i]
+        i, j = i[other], j[other]
         exact = exact_scores(self.queries[begin + i], vectors[j])
         edges = np.searchsorted(i, np.arange(len(self.ids[begin : begin + _CHUNK]) + 1))
         for q, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -153,8 +158,13 @@ class Search:
         seen[0], seen[1] = seen[0] + open_, seen[1] + of
 
     def rows(self) -> list[tuple[int, int, int]]:
+        """(query id, id, score)."""
         return [(int(q), c, -s) for q, best in zip(self.ids, self.best) for s, c in best]
 
+    def owners(self) -> list[int]:
+        """The query's own row number for each of `rows`."""
+        return [int(o) for o, best in zip(self.own, self.best) for _ in best]
+
 
 def search_block(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, group: int = DIMENSION_GROUP
@@ -176,33 +186,33 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best among all other rows, or all of them if fewer.
 
-    Queries are the rows whose id is divisible by `every`. Vectors are compared with those of the same length only. Ties go to the
-    smaller id. See `quantise` for nulls and repeated ids; scores beyond a long fail; an empty table gives an empty result; other
+    Queries are the rows whose id is divisible by `every`, rows that share an id each for itself; such rows are candidates for each other.
+    Vectors are compared with those of the same length only. Ties go to the smaller id. See `quantise` for nulls; scores beyond a long fail; an empty table gives an empty result; other
     columns are ignored. The driver sees one block of `query_block` queries at a time; each block is one pass over the candidates.
     """
     spark = vectors.sparkSession
     rows = quantise(vectors, id_col, vector_col)
-    rows = cut(rows.repartition(max(1, -(-vectors.count() // candidate_block)), "vec_id"))
+    rows = cut(rows.repartition(max(1, -(-vectors.count() // candidate_block)), "row"))
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     results: DataFrame | None = None
     for block in range(blocks):
-        part = (asked if blocks == 1 else asked.where(F.col("block") == block)).select("vec_id", "v", "dim").toPandas()
-        by_dim = {int(d): (g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy())) for d, g in part.groupby("dim")}
+        part = (asked if blocks == 1 else asked.where(F.col("block") == block)).select("row", "vec_id", "v", "dim").toPandas()
+        by_dim = {int(d): (g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy()), g["row"].to_numpy()) for d, g in part.groupby("dim")}
         sent = spark.sparkContext.broadcast(by_dim)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            searches = {d: Search(ids, queries, k) for d, (ids, queries) in sent.value.items()}
+            searches = {d: Search(ids, queries, k, own=own) for d, (ids, queries, own) in sent.value.items()}
             for batch in batches:
                 for d, g in batch.groupby("dim"):
                     if d in searches:
-                        searches[d].add(g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy()))
-            found = [r for s in searches.values() for r in s.rows()]
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                        searches[d].add(g["vec_id"].to_numpy(), np.stack(g["v"].to_numpy()), g["row"].to_numpy())
+            found = [(o, *r) for s in searches.values() for o, r in zip(s.owners(), s.rows())]
+            yield pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
-        best = rows.mapInPandas(run, "query_id long, vec_id long, score long")
+        best = rows.mapInPandas(run, "query_row long, query_id long, vec_id long, score long")
         ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if blocks > 1:
             ranked = cut(ranked)

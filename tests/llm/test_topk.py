@@ -10,20 +10,27 @@ SCHEMA = "vec_id long, embedding array<float>, rank string, score string"
 
 
 def brute(rows, k=20, every=20):
-    whole = {}
+    whole = []
     for i, v, *_ in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        ints = [math.floor(64 * float(np.float32(x))) for x in v]
-        whole[i] = min(whole.get(i, ints), ints)
+        whole.append((i, [math.floor(64 * float(np.float32(x))) for x in v]))
     out = []
-    for q in whole:
+    for own, (q, a) in enumerate(whole):
         if q % every == 0:
-            scored = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+            scored = [(-sum(x * y for x, y in zip(a, v)), i) for at, (i, v) in enumerate(whole) if at != own and len(v) == len(a)]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
 
 
+def test_rows_that_share_an_id_are_candidates_each(spark):
+    rows = [(20, [1.0, 0.0], "", ""), (1, [1.0, 0.0], "", ""), (1, [2.0, 0.0], "", ""), (2, [1.5, 0.0], "", "")]
+    found = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert found == [(20, 1, 1, 8192), (20, 2, 2, 6144), (20, 3, 1, 4096)]
+    twice = [*rows, (20, [1.0, 0.0], "", ""), (20, [3.0, 0.0], "", "")]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(twice, SCHEMA)).collect())) == brute(twice)
+
+
 @pytest.mark.parametrize("block", [7, 60, 16384])
 def test_equals_brute_force(spark, block):
     seeded = random.Random(1)
