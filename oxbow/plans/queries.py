@@ -664,6 +664,26 @@ def digest_rowwise(spark, sf_dir):
     return digest.row_digest(T.read(spark, sf_dir, "part"), ["p_partkey", "p_name"])
 
 
+_PART_META = """'{"brand":"' || p_brand || '","size":' || p_size || '}'"""
+_PART_ROW = "CAST(p_partkey AS VARCHAR)"
+_LANES = ", ".join(f"lpad(printf('%x', CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) % 4294967296 AS BIGINT)), 8, '0')" for k in range(8))
+
+
+@register(
+    f"""WITH r AS (SELECT p_brand || '/' || {_PART_ROW} AS path, CAST(p_size AS VARCHAR) AS size_bytes, p_type AS extractor, {_PART_META} AS meta FROM part),
+    h AS (SELECT substr(path, 1, 8) AS part, sha256('+' || length(path) || ':' || path || '+' || length(size_bytes) || ':' || size_bytes
+      || '+' || length(extractor) || ':' || extractor || '+' || length(meta) || ':' || meta) AS h FROM r),
+    b AS (SELECT part, h FROM h UNION ALL SELECT '', h FROM h)
+    SELECT part, count(*) AS n_rows, printf('%x', count(*)) || '-' || concat({_LANES}) AS digest FROM b GROUP BY part"""
+)
+def digest_ranges(spark, sf_dir):
+    """Digests of ranges of paths that add up to the whole's, over rows with metadata whose keys come in another order."""
+    other = F.concat(F.lit('{ "size": '), F.col("p_size"), F.lit(', "brand":"'), F.col("p_brand"), F.lit('"}'))
+    path = F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string"))
+    rows = T.read(spark, sf_dir, "part").select(path.alias("path"), F.col("p_size").alias("size_bytes"), F.col("p_type").alias("extractor"), other.alias("meta"))
+    return digest.range_digest(rows, prefix=8)
+
+
 # Metadata and events derived from `events`
 
 

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import json
-import time
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import meta as M
 from ..functions import text as X
 from ..operators.delta import reusable
 from ..operators.search import haystack
 from .extract import describe
+from .store import Store as Store
 from .tree import walk
 
 ENTRY = (
@@ -27,9 +25,6 @@ COLUMNS = [
 ]
 
 
-_LOG = "generation long, parts map<string,string>, schema string, buckets int, published_s double"
-
-
 def derive(entries: DataFrame, tags: list[tuple[str, str]] = tuple(X.TAGS), columns: bool = True, figure_text: bool = True) -> DataFrame:
     """Catalogue rows from entries: names, keys and folded text are stored, so that searches reach the Parquet scan.
 
@@ -63,73 +58,6 @@ def build(spark: SparkSession, root: str, prior: DataFrame | None = None, refere
     return fresh.unionByName(again.join(old.select("path", "figure_text", "n_obs", "n_vars"), "path").select(*COLUMNS))
 
 
-class Store:
-    """Snapshots of a catalogue below one folder of any store that Spark reaches.
-
-    Rows lie in buckets by a hash of the path. A publication is a Parquet table of the buckets that it writes; a log of generations
-    says which table holds which bucket, so an update writes the buckets that it touches and keeps the others. Tables are written first
-    and the log entry last, so readers see all of it or none, and a table that is being read is never overwritten.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG).json(f"{self.folder}/log")
-
-    def generation(self) -> int | None:
-        try:
-            return self._log().agg(F.max("generation")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def _entry(self, generation: int | None = None):
-        log = self._log() if generation is None else self._log().where(F.col("generation") == generation)
-        last = log.orderBy(F.desc("generation")).limit(1).collect()
-        if not last:
-            raise ValueError(f"no generation {generation} in {self.folder}")
-        return last[0]
-
-    def bucket(self, path: Column, buckets: int | None = None) -> Column:
-        return F.pmod(F.xxhash64(path), F.lit(buckets or self.buckets)).cast("int")
-
-    def publish(self, catalog: DataFrame, generation: int | None = None, only: list[int] | None = None) -> int:
-        """A new generation: all rows, or with `only` the rows of those buckets, the other buckets staying as they are."""
-        before = self.generation()
-        number = max((before or 0) + 1, generation or 0)
-        name = f"snapshot-{number:012d}-{uuid.uuid4().hex[:8]}"
-        last = self._entry() if only is not None and before is not None else None
-        buckets = last["buckets"] if last else self.buckets
-        rows = catalog.withColumn("__bucket", self.bucket(F.col("path"), buckets))
-        rows.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{name}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}").select("__bucket").distinct().collect()
-        parts = {} if last is None else {b: t for b, t in last["parts"].items() if int(b) not in only}
-        parts |= {str(r[0]): name for r in written}  # at most one entry a bucket
-        entry = [(number, parts, catalog.schema.json(), buckets, time.time())]
-        self.spark.createDataFrame(entry, _LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
-        return number
-
-    def read(self, generation: int | None = None, only: list[int] | None = None) -> DataFrame:
-        """The last generation, or a given one; with `only` the rows of those buckets."""
-        last = self._entry(generation)
-        schema = T.StructType.fromJson(json.loads(last["schema"]))
-        held = {b: t for b, t in (last["parts"] or {}).items() if only is None or int(b) in only}
-        if not held:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{t}/__bucket={b}" for b, t in sorted(held.items())))
-
-    def touched(self, paths: DataFrame) -> list[int]:
-        """The buckets of some paths, in the layout of the last generation."""
-        found = paths.select(self.bucket(F.col("path"), self._entry()["buckets"]).alias("b")).distinct().collect()
-        return sorted(r["b"] for r in found)  # at most one row a bucket
-
-    def age_seconds(self) -> float | None:
-        """Seconds since the last publication, to decide whether a reader should refresh first."""
-        return None if self.generation() is None else time.time() - self._log().agg(F.max("published_s")).first()[0]
-
-
 def entries_of(catalog: DataFrame) -> DataFrame:
     """Interchange entries of catalogue rows, `meta` as JSON text."""
     iso = X.iso_utc(F.unix_timestamp("mtime"))

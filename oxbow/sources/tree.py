@@ -1,11 +1,17 @@
-"""A directory tree as a Spark data source: one row per file, links not followed.
+"""The files of a directory tree: one row per file, links not followed.
+
+`walk` goes in rounds. In each, the folders that are still closed are dealt out to all tasks; a task lists folder after folder, downwards,
+until it has seen its budget of entries, and hands back what it has not opened. So wide folders and deep ones spread alike, and neither
+the driver nor a fixed number of splits bounds the work. Every round is written to the checkpoint folder.
+
+`TreeSource` is the same listing as a lazy data source for trees of modest size: the driver lists the top levels until there are enough folders for
+`splits`, and each task walks its own.
 
     spark.dataSource.register(TreeSource)
     spark.read.format("oxbow-tree").option("exclude", "*.tmp").load("/data")
 
-Folders are dealt out to tasks: the driver lists only the top levels, until there are enough folders for `splits`, and each task
-walks its own. Unreadable folders and files become rows with an error; with `strict` they end the read, so that a caller who deletes
-what is not listed never mistakes an unreadable disk for an empty one.
+Unreadable folders and files become rows with an error; with `strict` they end the read, so that a caller who deletes what is not listed
+never mistakes an unreadable disk for an empty one.
 """
 
 from __future__ import annotations
@@ -15,11 +21,14 @@ import re
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..checkpoint import cut
 from ..functions import text as X
 
 SCHEMA = "path string, size_bytes long, mtime_s double, is_symlink boolean, symlink_target string, symlink_ok boolean, error string"
@@ -83,7 +92,7 @@ class TreeReader(DataSourceReader):
                 raise
             return [], f"{type(e).__name__}: {e.strerror}"
 
-    def _children(self, folder: str) -> tuple[list[tuple], list[str]]:
+    def children(self, folder: str) -> tuple[list[tuple], list[str]]:
         """(rows, folders to enter) of one folder."""
         rows, folders = [], []
         entries, error = self._list(folder)
@@ -95,15 +104,31 @@ class TreeReader(DataSourceReader):
                 if self.rules.enters(path, entry.name):
                     folders.append(path)
             elif self.rules.counts(path, entry.name) and not (entry.is_symlink() and entry.name in self.rules.pruned):
-                rows.append(self._row(path, entry))
+                rows.append(self._row(path, entry.path))
         return rows, folders
 
-    def _row(self, path: str, entry: os.DirEntry) -> tuple:
+    def mark(self, path: str) -> tuple[list[tuple], list[str]]:
+        """(rows, folders to enter) of one path below the root, if the rules lead to it."""
+        names = path.split("/")
+        above = ["/".join(names[: i + 1]) for i in range(len(names) - 1)]
+        if not all(self.rules.enters(p, p.rsplit("/", 1)[-1]) and not os.path.islink(os.path.join(self.root, p)) for p in above):
+            return [], []
+        if self.strict and not os.path.isdir(self.root):
+            raise FileNotFoundError(f"No such file or directory: {self.root}")
+        whole = os.path.join(self.root, path)
+        if os.path.isdir(whole) and not os.path.islink(whole):
+            return self.children(path) if self.rules.enters(path, names[-1]) else ([], [])
+        if not os.path.lexists(whole) or not self.rules.counts(path, names[-1]):
+            return [], []
+        row = self._row(path, whole)
+        return ([] if row[3] and names[-1] in self.rules.pruned else [row]), []
+
+    def _row(self, path: str, whole: str) -> tuple:
         try:
-            info = entry.stat(follow_symlinks=False)
+            info = os.lstat(whole)
             link = stat.S_ISLNK(info.st_mode)
-            target = os.readlink(entry.path) if link else None
-            return path, info.st_size, info.st_mtime, link, target, os.path.exists(entry.path) if link else None, None
+            target = os.readlink(whole) if link else None
+            return path, info.st_size, info.st_mtime, link, target, os.path.exists(whole) if link else None, None
         except OSError as e:
             if self.strict and not isinstance(e, FileNotFoundError):
                 raise
@@ -112,7 +137,7 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[Split]:
         shallow, open_ = [], [""]
         while open_ and len(open_) < self.splits:
-            deeper = [f for folder in open_ for f in self._children(folder)[1]]
+            deeper = [f for folder in open_ for f in self.children(folder)[1]]
             shallow += [(folder, False) for folder in open_]
             open_ = deeper
         work = [*shallow, *((f, True) for f in open_)]
@@ -122,7 +147,7 @@ class TreeReader(DataSourceReader):
         for start, deep in partition.folders:
             stack = [start]
             while stack:
-                rows, folders = self._children(stack.pop())
+                rows, folders = self.children(stack.pop())
                 yield from rows
                 stack += folders if deep else []
 
@@ -139,12 +164,69 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def walk(spark: SparkSession, root: str, **options) -> DataFrame:
-    """(path, size_bytes, mtime, is_symlink, symlink_target, symlink_ok, error, ext, category) of every file below `root`."""
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("oxbow-tree")
-    for key, value in options.items():
-        reader = reader.option(key, str(value).lower() if isinstance(value, bool) else ",".join(value) if isinstance(value, list) else value)
+#: Entries that a task lists in a round: few at first, so that the tree is soon dealt out to all.
+FIRST_BUDGET, BUDGET = 256, 100_000
+_FOUND = f"{SCHEMA}, closed boolean"
+
+
+def _options(root: str, options: dict) -> dict[str, str]:
+    text = lambda v: str(v).lower() if isinstance(v, bool) else ",".join(v) if isinstance(v, list) else str(v)
+    return {"path": root} | {k: text(v) for k, v in options.items()}
+
+
+def _step(reader: TreeReader, budget: int, marks: bool):
+    """Lists closed folders, or looks at marks, which may be anything or nothing; rows of files, and of folders left closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        schema = pa.schema(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.bool_(), pa.string(), pa.bool_())))
+        seen, out = 0, []
+        for batch in batches:
+            open_ = batch.column(0).to_pylist()
+            while open_:
+                path = open_.pop()
+                if seen >= budget:
+                    out.append((path, None, None, None, None, None, None, True))
+                else:
+                    rows, folders = reader.mark(path) if marks and path else reader.children(path)
+                    seen += len(rows) + len(folders) + 1
+                    open_ += folders
+                    out += [(*r, False) for r in rows]
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def rounds(spark: SparkSession, root: str, start: DataFrame | None = None, budget: int = BUDGET, **options) -> Iterator[DataFrame]:
+    """What each round of a walk found, by SCHEMA and `closed`; `start` has paths (path) to look at, in place of the root."""
+    reader = TreeReader(_options(root, options))
+    tasks = spark.sparkContext.defaultParallelism * 4
+    if start is None and not os.path.isdir(reader.root):
+        raise FileNotFoundError(f"No such file or directory: {reader.root}")
+    frontier = spark.createDataFrame([("",)], "path string") if start is None else start.select("path").distinct()
+    marks, size = start is not None, min(FIRST_BUDGET, budget)
+    while True:
+        found = cut(frontier.mapInArrow(_step(reader, size, marks), _FOUND))
+        yield found
+        closed = found.where("closed").select("path")
+        left = closed.count()
+        if not left:
+            return
+        frontier, marks, size = closed.repartition(min(left, tasks)), False, min(16 * size, budget)
+
+
+def walk(spark: SparkSession, root: str, start: DataFrame | None = None, **options) -> DataFrame:
+    """(path, size_bytes, mtime, is_symlink, symlink_target, symlink_ok, error, ext, category) of every file below `root`.
+
+    With `start`, of the files at or below its paths alone; these may have gone, and count only where the rules let a walk of the root
+    come to them.
+    """
+    parts = [p.where("not closed").drop("closed") for p in rounds(spark, root, start, **options)]
     ext = X.ext_of(F.col("path"))
-    rows = reader.load(root).withColumn("mtime", F.timestamp_seconds(F.floor("mtime_s"))).withColumn("ext", ext)
-    return rows.drop("mtime_s").withColumn("category", X.category_for(F.col("ext")))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("mtime", F.timestamp_seconds(F.floor("mtime_s"))).withColumn("ext", ext)
+    rows = rows.drop("mtime_s").withColumn("category", X.category_for(F.col("ext")))
+    return rows.distinct() if start is not None else rows  # marks may lie below one another

@@ -1,8 +1,9 @@
 """Keeping a catalogue current from file events, with Structured Streaming.
 
-Events are hints (ts, path, recursive): what counts is what the disk says when a batch is handled. A batch collects the events of a
-trigger interval (the longest wait), reduces them to the dirty paths that no dirty folder covers, and reconciles those: present files
-are upserted, vanished ones deleted with everything below. Doing so twice changes nothing, so late and repeated events do no harm.
+Events are hints (ts, path, recursive): what counts is what the disk says when they are handled. They come from any stream, such as that of
+`sources.watch`, wait in keyed state until their burst has ended and no operation owns their path (`timers`), are reduced to the dirty
+paths that no dirty folder covers, and are reconciled: present files are upserted, vanished ones deleted with everything below. Doing so
+twice changes nothing, so late and repeated events do no harm.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql.streaming import StreamingQueryListener
 from ..functions.text import ancestors
 from ..operators.delta import upsert
 from ..sources.tree import PRUNED, SKIPPED_NAMES
+from . import timers
+from .timers import STORM
+from .timers import defer as defer
 
-QUIET, LONGEST = "300 milliseconds", "2 seconds"
-STORM = 10_000
+QUIET, LONGEST = f"{timers.QUIET_MS} milliseconds", f"{timers.LONGEST_MS} milliseconds"
 EXCLUDED = [*PRUNED, *SKIPPED_NAMES]  # names whose events never count, at any level
 
 
@@ -48,38 +51,40 @@ def storm(marks: DataFrame, most: int = STORM) -> DataFrame:
     return marks.agg(F.count(F.lit(1)).alias("n_points")).withColumn("rescan", F.col("n_points") > most)
 
 
-def gone(catalog: DataFrame, dirty: DataFrame, found: DataFrame) -> DataFrame:
-    """Paths of `catalog` at or below a dirty mark (path) that are not in `found`. Marks are few (see `storm`) and broadcast."""
-    at = F.array_union(F.array(F.col("path")), F.concat(F.array(F.lit("")), ancestors(F.col("path"))))
-    marks = F.broadcast(dirty.select(F.col("path").alias("mark")).distinct())
-    touched = catalog.select("path", F.explode(at).alias("mark")).join(marks, "mark").select("path").distinct()
-    return touched.join(found.select("path"), "path", "left_anti")
+def at_or_below(path: Column, marks: list[str]) -> Column:
+    """Whether a path is one of some marks or lies below one; the empty mark is the root."""
+    if "" in marks:
+        return F.lit(True)
+    above = F.array_union(F.array(path), ancestors(path))
+    return F.arrays_overlap(above, F.array(*map(F.lit, marks)).cast("array<string>"))
 
 
-def reconcile(catalog: DataFrame, dirty: DataFrame, found: DataFrame) -> DataFrame:
+def gone(catalog: DataFrame, marks: list[str], found: DataFrame) -> DataFrame:
+    """Paths of `catalog` at or below a mark that are not in `found`."""
+    return catalog.where(at_or_below(F.col("path"), marks)).select("path").join(found.select("path"), "path", "left_anti")
+
+
+def reconcile(catalog: DataFrame, marks: list[str], found: DataFrame) -> DataFrame:
     """`catalog` after looking at the dirty marks: `found` has the rows now at or below them.
 
-    Rows at or below a recursive mark, or at or below a point that is gone, leave unless found again; found rows replace their
-    own. A point whose file is still there touches nothing else. Excluded paths count as gone, even where they are found.
+    Rows at or below a mark leave unless found again; found rows replace their own. Excluded paths count as gone, even where they are
+    found, and what lies outside all marks stays.
     """
-    found = found.where(~excluded(F.col("path")))
-    return upsert(catalog.join(gone(catalog, dirty, found), "path", "left_anti").select(*catalog.columns), found)
+    found = found.where(~excluded(F.col("path")) & at_or_below(F.col("path"), marks))
+    return upsert(catalog.join(gone(catalog, marks, found), "path", "left_anti").select(*catalog.columns), found)
 
 
-def ready(events: DataFrame, now: Column, owners: DataFrame | None = None) -> DataFrame:
-    """Events (ts, path, recursive) with `ready`: whether they may be handled at `now`.
+def look_below(spark: SparkSession, root: str, **options) -> Callable[[DataFrame], DataFrame]:
+    """A `look` for `follow`: catalogue rows of the files now at or below the marks of a tree. Only the marks are walked, in tasks."""
 
-    A burst waits until it has been quiet for QUIET, or has lasted LONGEST; events at paths that an operation in progress owns wait
-    for that (see `defer`).
-    """
-    spans = F.broadcast(bursts(events).select("first", "last"))  # bursts lie QUIET apart, so a batch has few
-    timed = events.join(spans, (F.col("ts") >= F.col("first")) & (F.col("ts") <= F.col("last")))
-    calm = (now >= F.col("last") + F.expr(f"interval {QUIET}")) | (now >= F.col("first") + F.expr(f"interval {LONGEST}"))
-    timed = timed.withColumn("ready", calm).drop("first", "last")
-    if owners is None:
-        return timed
-    held = defer(timed, owners)
-    return held.withColumn("ready", F.col("ready") & (F.col("drain_at") <= now)).drop("drain_at")
+    def look(marks: DataFrame) -> DataFrame:
+        from ..sources.catalogue import derive
+        from ..sources.extract import describe
+        from ..sources.tree import walk
+
+        return derive(describe(walk(spark, root, start=marks.select("path"), strict=True, **options), root))
+
+    return look
 
 
 def follow(
@@ -89,42 +94,37 @@ def follow(
     checkpoint: str,
     trigger: dict | None = None,
     name: str = "oxbow",
-    owners: Callable[[], DataFrame] | None = None,
-    now: Callable[[], Column] = F.current_timestamp,
+    most: int = STORM,
 ):
-    """Start a query that reconciles `store` (see sources.catalogue.Store) with each batch of events (path, recursive) or (ts, path,
-    recursive).
+    """Start a query that reconciles `store` (see sources.store.Store) with events, batch by batch.
+
+    events: (path, recursive), which are handled as they come; or (ts, path, recursive), which are handled when their burst has ended; or
+    a whole log with operations and pauses (see `timers`). `look(marks)` returns the catalogue rows now at or below the marks, and
+    must raise where something can not be read: the batch then fails and is tried again, rather than emptying the catalogue. One query
+    per checkpoint is the single writer.
 
-    `look(marks)` returns the catalogue rows now at or below the marks, and must raise where something can not be read: the batch
-    then fails and is tried again, rather than emptying the catalogue. One query per checkpoint is the single writer. Events with
-    times that are not `ready` yet, for a burst goes on or for an owner of `owners()` works there, are kept below the store's folder
-    and come back with the next batch. Only the buckets that hold touched paths are read in whole and written again.
+    A batch reads and writes the segments that hold its marks, which the store's record tells, and no others. More than `most` marks
+    become one of the root, so marks can pass the driver.
     """
     spark = events.sparkSession
-
-    def kept(batch_id: int) -> str:
-        return f"{store.folder}/pending-{name}/{batch_id:012d}"
+    if "kind" in events.columns:
+        events = timers.hold(events)
+    elif "ts" in events.columns:
+        events = timers.hold(timers.as_log(events.where(~excluded(F.col("path")))))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if "ts" in batch.columns:
-            batch = batch.select("ts", "path", "recursive")
-            if batch_id:
-                batch = batch.unionByName(spark.read.schema(batch.schema).parquet(kept(batch_id - 1)))
-            marked = ready(batch, now(), owners() if owners else None)
-            marked.write.mode("overwrite").partitionBy("ready").parquet(f"{kept(batch_id)}-all")
-            marked = spark.read.schema(marked.schema).parquet(f"{kept(batch_id)}-all")
-            marked.where("not ready").drop("ready").write.mode("overwrite").parquet(kept(batch_id))
-            batch = marked.where("ready")
         marks = subsume(batch.where(~excluded(F.col("path"))).select("path", "recursive"))
-        if marks.isEmpty():
+        rows = [(r["path"], r["recursive"]) for r in marks.limit(most + 1).collect()]
+        if not rows:
             return
-        if storm(marks).first()["rescan"]:
-            marks = spark.createDataFrame([("", True)], "path string, recursive boolean")
-        catalog, found = store.read(), look(marks)
-        left = gone(catalog, marks, found)
-        buckets = store.touched(left.select("path").unionByName(found.select("path")))
-        if buckets:
-            store.publish(reconcile(store.read(only=buckets), marks, found), generation=batch_id, only=buckets)
+        if len(rows) > most:
+            rows = [("", True)]
+        paths = [p for p, _ in rows]
+        segments = store.touched(rows)
+        held = store.read(only=segments)
+        found = look(spark.createDataFrame(rows, "path string, recursive boolean"))
+        after = reconcile(held, paths, found)
+        store.publish(after, generation=batch_id, only=segments)
 
     writer = events.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": LONGEST})).start()
@@ -158,22 +158,6 @@ class Health(StreamingQueryListener):
 
 
 def resume(store, look: Callable[[DataFrame], DataFrame], spark: SparkSession) -> int:
-    """After a pause or a failure: look at the whole tree once, since events may have been missed. Then start `follow` again."""
+    """After a stop or a failure: look at the whole tree once, since events may have been missed. Then start `follow` again."""
     everything = spark.createDataFrame([("", True)], "path string, recursive boolean")
-    return store.publish(reconcile(store.read(), everything, look(everything)))
-
-
-def defer(events: DataFrame, owners: DataFrame, drain_seconds: float = 0.5) -> DataFrame:
-    """Events with `drain_at`: when they may be handled, if operations in progress own their paths.
-
-    owners: (root, subtree, lease_until, retired_at). An event at an owned path waits until its last owner retires (or its lease ends)
-    and a little longer; an unowned one may be handled at once (its own ts).
-    """
-    at = F.array_union(F.array(F.col("path")), ancestors(F.col("path")))
-    ends = F.least(F.coalesce("retired_at", "lease_until"), F.col("lease_until"))
-    own = owners.select(F.col("root").alias("__root"), "subtree", ends.alias("__end"))
-    hit = events.select("ts", "path", F.explode(at).alias("__root")).distinct().join(own, "__root")
-    hit = hit.where((F.col("subtree") | (F.col("path") == F.col("__root"))) & (F.col("ts") <= F.col("__end")))
-    last = hit.groupBy("ts", "path").agg(F.max("__end").alias("__end"))
-    wait = F.expr(f"interval {drain_seconds} seconds")
-    return events.join(last, ["ts", "path"], "left").withColumn("drain_at", F.coalesce(F.col("__end") + wait, F.col("ts"))).drop("__end")
+    return store.publish(reconcile(store.read(), [""], look(everything)))

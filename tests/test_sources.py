@@ -177,3 +177,79 @@ def test_lean_rows_and_index(spark, root, tmp_path):
     head = json.loads(spark.read.text(str(tmp_path / "index" / "header")).first().value)
     assert head["content_digest"] == "d1" and sum(head["summary"]["by_category"].values()) == sum(head["summary"]["by_ext"].values()) == built.count()
     assert catalogue.read_jsonl(spark, str(tmp_path / "index" / "entries"), strict=True).count() == built.count()
+
+
+def test_digests_find_the_segments_that_differ(spark, tmp_path):
+    """Equal roots read no row of the store; a change reads its own segment alone."""
+    meta = lambda i: json.dumps({"k": i, "a": [1]})
+    rows = [(f"d{i % 5}/{i:03d}", i, "doc", meta(i), i % 7 == 0, i % 14 == 0) for i in range(100)]
+    schema = "path string, size_bytes long, extractor string, meta string, is_symlink boolean, symlink_ok boolean"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    store = catalogue.Store(spark, str(tmp_path / "store"), segment_rows=12)
+    store.publish(frame(rows))
+    one = catalogue.Store(spark, str(tmp_path / "one"))
+    one.publish(frame(rows[::-1]))
+    assert store.digest() == one.digest() and len(store.entry()["segments"]) >= 8 and len(one.entry()["segments"]) == 1
+    reads, read = [], store.read
+    store.read = lambda generation=None, only=None: reads.append(only) or read(generation, only)
+    blanks = [(p, n, x, json.dumps({"a": [1], "k": i}, indent=1), s, ok) for i, (p, n, x, m, s, ok) in enumerate(rows)]
+    changes, differ = store.compare(frame(blanks))
+    assert (changes.collect(), differ, reads) == ([], [], [[]])
+    other = [r for r in rows if r[0] != "d2/002"] + [("d2/0021", 1, "doc", "{}", False, None)]
+    other = [(p, n, x, m, s, True if p == "d4/049" else ok) for p, n, x, m, s, ok in other]
+    changes, differ = store.compare(frame(other))
+    assert sorted(map(tuple, changes.collect())) == [("d2/002", "removed"), ("d2/0021", "added"), ("d4/049", "repaired")]
+    assert len(differ) <= 3 and reads[-1] == differ
+    assert store.refresh(frame(other)) and not store.refresh(frame(other))
+    one.publish(frame(other))
+    assert store.digest() == one.digest()
+    places = [{s.place for s in store.entry(g)["segments"]} for g in (1, 2)]
+    assert len(places[0] - places[1]) == len(differ)
+
+
+def test_queries_look_first_when_the_last_look_is_old(spark, root, tmp_path_factory, capsys):
+    from oxbow.__main__ import main
+
+    place = str(tmp_path_factory.mktemp("kept"))
+    store = catalogue.Store(spark, place)
+    main(["build", root, place], spark)
+    with open(f"{root}/late.csv", "w") as f:
+        f.write("a\n1\n")
+    capsys.readouterr()
+    ask = lambda *o: (main(["query", place, "late.csv", "--count", *o], spark), capsys.readouterr())[1]
+    assert ask().out.split() == ["0"] and store.generation() == 1  # younger than ten seconds
+    assert ask("--fresh", "0").out.split() == ["1"] and store.generation() == 2
+    assert ask("--fresh", "0").out.split() == ["1"] and store.generation() == 2 and store.age_seconds() < 10  # looked, found nothing
+    os.rename(root, root + "-away")
+    try:
+        gone = ask("--fresh", "0")
+        assert gone.out.split() == ["1"] and "not refreshed" in gone.err and store.generation() == 2
+    finally:
+        os.rename(root + "-away", root)
+    assert main(["check", root, place], spark) == 0
+    os.remove(f"{root}/late.csv")
+    assert main(["check", root, place], spark) == 1 and "removed\tlate.csv" in capsys.readouterr().out
+
+
+def test_walk_in_rounds(spark, tmp_path):
+    """A wide folder and a deep chain in many small rounds: the rows of the lazy source, and every task takes part."""
+    for i in range(300):
+        (tmp_path / "tree" / "wide" / f"f{i}").mkdir(parents=True)
+        (tmp_path / "tree" / "wide" / f"f{i}" / "x.md").write_text("x")
+    deep = tmp_path / "tree"
+    for i in range(60):
+        deep = deep / f"d{i}"
+        deep.mkdir()
+        (deep / "y.md").write_text("y")
+    root = str(tmp_path / "tree")
+    found = list(tree.rounds(spark, root, budget=20))
+    rows = [tuple(r) for part in found for r in part.where("not closed").drop("closed").collect()]
+    spark.dataSource.register(tree.TreeSource)
+    lazy = spark.read.format("oxbow-tree").load(root)
+    assert sorted(rows) == sorted(map(tuple, lazy.collect())) and len(rows) == 360 and len(found) > 3
+    tasks = found[1].where("not closed").select(F.spark_partition_id()).distinct().count()
+    assert tasks >= 8
+    marks = spark.createDataFrame([("wide/f7",), ("wide/f7/x.md",), ("gone",), ("d0/d1/d2/y.md",), ("wide/f8/nothing",)], "path string")
+    assert {r.path for r in tree.walk(spark, root, start=marks).collect()} == {"wide/f7/x.md", "d0/d1/d2/y.md"}
+    assert tree.walk(spark, root, start=marks).count() == 2
+    assert tree.walk(spark, root, start=spark.createDataFrame([("wide/f7/x.md",)], "path string"), prune="wide").count() == 0
