@@ -1,10 +1,12 @@
-"""License scans: winnowed template fingerprints in an inverted index, then banded alignment.
+"""License scans: winnowed template fingerprints in an inverted index, then alignment in the bands that their hits leave open.
 
 Templates are cut into word k-grams; of every `window` consecutive k-grams the one with the least hash becomes a fingerprint
 (winnowing), so any run of window + k - 1 words shared with a template holds a fingerprint. A template so short that the words it may
 lack can leave only shorter runs has all its grams indexed, of the length of the run that is sure to be left. The inverted index maps fingerprints to
-template positions. Each text is read once: its k-grams probe the index, and each hit names a template and a diagonal. Around such
-diagonals a banded alignment counts the template's words found in order, and reports coverage and span.
+template positions. Each text is read once: its k-grams probe the index, and each hit names a template and a place in it. Hits grow to runs of
+equal words, and runs that ascend in both texts are chained, as long as the words put in between two of them stay below `room`. Only the bands
+between the runs of a chain, and at its two ends, are aligned, word against word; so a block of other words costs no more than its own
+length, and a copy of thousands of words no more than a short one for each word.
 
 The index is as large as the templates, which are a parameter of at most MAX_TEMPLATE_WORDS words in all; it travels with the task.
 """
@@ -14,9 +16,9 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +29,8 @@ from .license_texts import TEXTS
 MAX_TEMPLATE_WORDS = 1_000_000
 K = 3
 WINDOW = 2
-BAND = 4
+#: Words that may be put in between two runs: BAND in a short template, half its length in one of SHORT words and more, at most ROOM.
+BAND, SHORT, ROOM = 4, 40, 200
 LEAST_COVERAGE = 0.8
 LONG_TEXT = 4_000_000
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -74,7 +77,7 @@ class Index:
         if sum(map(len, self.words.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
         self.known = {word: word for words in self.words.values() for word in words}
-        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        self.window = window
         self.sizes: dict[str, set[int]] = {}
         self.grams: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         for name, words in self.words.items():
@@ -97,68 +100,132 @@ class Index:
         words = _WORD.findall(low) if len(low) < LONG_TEXT else (m.group() for m in _WORD.finditer(low))
         return [self.known.get(w) for w in words]
 
-    def hits(self, words: list[str | None]) -> dict[str, list[int]]:
-        """Diagonals (text position minus template position) by template, ascending."""
-        found: dict[str, set[int]] = {}
+    def hits(self, words: list[str | None]) -> dict[str, list[tuple[int, int, int]]]:
+        """(text position, template position, length) of the grams that meet, by template, in the order of the text."""
+        found: dict[str, list[tuple[int, int, int]]] = {}
         for i, word in enumerate(words):
             for size in self.sizes.get(word, ()):
+                if i + size > len(words):
+                    continue
                 for name, at in self.grams.get(tuple(words[i : i + size]), ()):
-                    found.setdefault(name, set()).add(i - at)
-        return {name: sorted(diagonals) for name, diagonals in found.items()}
+                    found.setdefault(name, []).append((i, at, size))
+        return found
 
+    def least_exact(self, name: str, least: float) -> float:
+        """Words that runs must have for a match: what lies outside them shares only runs too short for a fingerprint."""
+        count = len(self.words[name])
+        run = min(self.k + self.window - 1, sure_run(count, least))
+        outside = (run - 1) / run
+        return max(0.0, (least - outside) / (1 - outside)) * count
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched, first, last): the most template words met in order on diagonals within `band`, and the text positions they span.
 
-    Of equally good alignments the one that ends first, then starts last.
+def room(count: int) -> int:
+    return BAND if count < SHORT else max(BAND, min(ROOM, count // 2))
+
+
+def common(template: list[str], words: list[str | None], stop: bool = False) -> tuple[int, int]:
+    """(how many words the two have in common in order, how many of `words` that takes), by one addition a word over the bits of `template`.
+
+    The second is counted only with `stop`.
     """
-    width = 2 * band + 1
-    none = (0, 0)  # matched, minus the steps from the first matched word: more is better
-    row = [none] * width
-    first = [-1] * width
-    best, span = none, (-1, -1)
-    for i, word in enumerate(template):
-        new, new_first = [none] * width, [-1] * width
-        for b in range(width):
-            j = i + diagonal + b - band
-            # Diagonal step from (i - 1, j - 1) keeps b; skipping a template word comes from b + 1, a text word from b - 1.
-            choices = [(row[b], first[b])]
-            if 0 <= j < len(words) and words[j] == word:
-                choices = [((row[b][0] + 1, row[b][1]), first[b] if row[b][0] else j)]
-            if b + 1 < width:
-                choices.append((row[b + 1], first[b + 1]))
-            if b:
-                choices.append((new[b - 1], new_first[b - 1]))
-            new[b], new_first[b] = max(choices, key=lambda c: (c[0][0], c[1]))
-            if 0 <= j < len(words) and words[j] == word and new[b][0] > best[0]:
-                best, span = new[b], (new_first[b], j)
-        row, first = new, new_first
-    return best[0], *span
-
-
-def strips(diagonals: list[int], band: int) -> Iterator[tuple[int, int]]:
-    """(middle, half width) of alignments that take in `band` diagonals around each of the ascending diagonals, those within a band of
-    the strip's first one together."""
-    at = 0
-    while at < len(diagonals):
-        end = bisect.bisect_right(diagonals, diagonals[at] + band)
-        first, last = diagonals[at], diagonals[end - 1]
-        yield (first + last) // 2, band + (last - first + 1) // 2
-        at = end
-
-
-def scan_text(text: str | None, index: Index, band: int, least: float) -> list[tuple[str, float, int, int, int]]:
+    masks: dict[str, int] = {}
+    for at, word in enumerate(template):
+        masks[word] = masks.get(word, 0) | 1 << at
+    full = row = (1 << len(template)) - 1
+    best, used = 0, 0
+    for at, word in enumerate(words):
+        met = row & masks.get(word, 0)
+        if met:
+            row = ((row + met) | (row - met)) & full
+            if stop and (count := len(template) - row.bit_count()) > best:
+                best, used = count, at + 1
+    return (best, used) if stop else (len(template) - row.bit_count(), len(words))
+
+
+def exact_runs(template: list[str], words: list[str | None], hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(text position, template position, words) of the longest runs of equal words around the hits, in the order of the text."""
+    ends: dict[int, int] = {}
+    runs = []
+    for i, at, size in hits:
+        if ends.get(i - at, -1) >= i + size:
+            continue
+        a, b = i + size, at + size
+        while a < len(words) and b < len(template) and words[a] == template[b]:
+            a, b = a + 1, b + 1
+        ends[i - at] = a
+        while i and at and words[i - 1] == template[at - 1]:
+            i, at = i - 1, at - 1
+        runs.append((i, at, a - i))
+    return sorted(runs)
+
+
+def chains(runs: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int, int]]]:
+    """Runs put together to chains that ascend in both texts, with at most `most` words of the text between two, the longest chains
+    first; each run in one chain, cut where it overlaps the one before it."""
+    starts, places, sizes = np.array(runs, np.int64).T
+    ends = starts + sizes
+    reach = np.maximum.accumulate(ends)
+    score, before, low = np.zeros(len(runs), np.int64), np.full(len(runs), -1), 0
+    for h in range(len(runs)):
+        while low < h and reach[low] < starts[h] - most:
+            low += 1
+        score[h] = sizes[h]
+        if low < h:
+            g = slice(low, h)
+            over = np.maximum(np.maximum(ends[g] - starts[h], places[g] + sizes[g] - places[h]), 0)
+            fits = (starts[g] < starts[h]) & (places[g] < places[h]) & (ends[g] >= starts[h] - most) & (over < sizes[h])
+            total = np.where(fits, score[g] - over, -1)
+            best = int(total.argmax())
+            if total[best] > 0:
+                score[h], before[h] = sizes[h] + total[best], low + best
+    used, out = np.zeros(len(runs), bool), []
+    for h in np.lexsort((ends, -score)).tolist():
+        chain = []
+        while h >= 0 and not used[h]:
+            used[h] = True
+            chain.append(runs[h])
+            h = int(before[h])
+        if chain:
+            out.append(_apart(chain[::-1]))
+    return out
+
+
+def _apart(chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    out = chain[:1]
+    for i, at, n in chain[1:]:
+        over = max(out[-1][0] + out[-1][2] - i, out[-1][1] + out[-1][2] - at, 0)
+        out.append((i + over, at + over, n - over))
+    return out
+
+
+def align(template: list[str], words: list[str | None], chain: list[tuple[int, int, int]], most: int) -> tuple[int, int, int]:
+    """(matched, first, last): the template's words met in order along a chain, and the text positions that they span."""
+    matched = sum(n for *_, n in chain)
+    for (i, at, n), (j, to, _) in zip(chain, chain[1:]):
+        if i + n < j and at + n < to:
+            matched += common(template[at + n : to], words[i + n : j])[0]
+    (i, at, _), (j, to, n) = chain[0], chain[-1]
+    ahead = words[max(0, i - at - most) : i][::-1]
+    more, used = common(template[:at][::-1], ahead, stop=True)
+    behind = words[j + n : j + n + len(template) - to - n + most]
+    rest, further = common(template[to + n :], behind, stop=True)
+    return matched + more + rest, i - used, j + n - 1 + further
+
+
+def scan_text(text: str | None, index: Index, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched, start, end) of a text; start and end are code points. Overlaps go to the match of
     more words, so a license's text is not lost to a notice that it quotes."""
     words = index.reduce(text or "")
     found = []
-    for name, diagonals in index.hits(words).items():
-        template = index.words[name]
-        for diagonal, width in strips(diagonals, band):
-            near = Counter(words[max(0, diagonal - width) : max(0, diagonal + len(template) + width)])
-            if (near & index.counts[name]).total() < least * len(template):
-                continue  # no alignment can match more words than both have
-            matched, a, b = align(template, words, diagonal, width)
+    for name, hits in index.hits(words).items():
+        template, enough = index.words[name], index.least_exact(name, least)
+        most, runs = room(len(template)), exact_runs(template, words, hits)
+        if len(set().union(*(range(at, at + n) for at, n in {(at, n) for _, at, n in runs}))) < enough:
+            continue  # all runs together hold too little of the template
+        for chain in chains(runs, most):
+            if sum(n for *_, n in chain) < enough:
+                continue
+            matched, a, b = align(template, words, chain, most)
             if matched >= least * len(template):
                 found.append((-matched, -matched / len(template), a, b, name))
     taken: list[tuple[int, int]] = []  # apart from each other, in order
@@ -189,7 +256,6 @@ def scan(
     templates: dict[str, str] | None = None,
     k: int = K,
     window: int = WINDOW,
-    band: int = BAND,
     least: float = LEAST_COVERAGE,
 ) -> DataFrame:
     """(doc_id, license, coverage, matched, start, end): a row for each notice found in a whole text.
@@ -202,7 +268,7 @@ def scan(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *f) for i, t in zip(batch["doc_id"], batch["__text"]) for f in scan_text(t, index, band, least)]
+            rows = [(i, *f) for i, t in zip(batch["doc_id"], batch["__text"]) for f in scan_text(t, index, least)]
             yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "matched", "start", "end"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
