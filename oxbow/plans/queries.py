@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions import text as X
-from ..operators import delta, digest, facets, journal, lineage, rank, search, tree
+from ..operators import delta, digest, facets, journal, lineage, rank, search, tree, upkeep
 from ..sources import tables as T
 from ..sources.catalogue import lean
 from ..streaming import live
@@ -365,6 +365,46 @@ def subtree_scope(spark, sf_dir):
     return tree.subtree(parts, "Brand#1").unionByName(tree.subtree(parts, "Brand#13")).select("path")
 
 
+# Aggregates kept up by changes: rows of `events` by their size stay, leave, are replaced or come
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(before, upserts, removed) of a catalogue of events with links and errors."""
+    n = F.col("size_bytes")
+    rows = T.events(spark, sf_dir).withColumns({"is_symlink": n % 7 == 0, "symlink_ok": F.when(n % 7 == 0, n % 14 != 0), "error": F.when(n % 5 == 0, "x")})
+    before = rows.where(n % 11 != 4)
+    came = rows.where(n % 11 == 4)
+    replaced = before.where(n % 11 == 5).withColumns({"size_bytes": n * 2, "mtime": F.col("mtime") - F.expr("interval 9 days"), "category": F.lit("other")})
+    return before, came.unionByName(replaced), before.where(n % 11 == 6).select("path")
+
+
+_AFTER = f"""(SELECT path, CASE WHEN size_bytes % 11 = 5 THEN 'other' ELSE category END AS category, ext, size_bytes % 7 = 0 AS link,
+    size_bytes % 14 = 0 AS broken, size_bytes % 5 = 0 AS failed, CASE WHEN size_bytes % 11 = 5 THEN size_bytes * 2 ELSE size_bytes END AS size_bytes,
+    CASE WHEN size_bytes % 11 = 5 THEN mtime - INTERVAL 9 DAY ELSE mtime END AS mtime FROM {EVENTS} WHERE size_bytes % 11 <> 6)"""
+
+
+@register(_rollup_sql(_AFTER))
+def rollup_upkeep(spark, sf_dir):
+    before, upserts, removed = _changes(spark, sf_dir)
+    changes, after = upkeep.signed(before, upserts, removed), delta.apply_delta(before, upserts, removed)
+    return _shown(upkeep.rollup_of(upkeep.rollup_after(upkeep.rollup_state(before), changes, after)))
+
+
+@register(f"SELECT 'category' AS facet, category AS value, count(*) AS n FROM {_AFTER} WHERE category <> '' GROUP BY 2")
+def facets_upkeep(spark, sf_dir):
+    before, upserts, removed = _changes(spark, sf_dir)
+    return upkeep.counts_after(facets.facets(before), upkeep.signed(before, upserts, removed))
+
+
+@register(
+    f"""SELECT count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(*) FILTER (link) AS n_symlinks,
+    count(*) FILTER (broken) AS n_broken_symlinks, count(*) FILTER (failed) AS n_errors FROM {_AFTER}"""
+)
+def summary_upkeep(spark, sf_dir):
+    before, upserts, removed = _changes(spark, sf_dir)
+    return upkeep.summary_after(facets.summary(before), upkeep.signed(before, upserts, removed))
+
+
 # Aggregates
 
 
