@@ -17,7 +17,7 @@ import json
 import re
 from collections import ChainMap
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LONG_WORD = 256
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 #: Characters whose words are merged together, and the longest slab of a text.
 GROUP_CHARS = 2_000_000
@@ -144,8 +144,12 @@ class Codec:
         self.keys, self.ranks, self.products = keys[order], order, np.array([vocab[a + b] for a, b in merges], np.int64)
         self.special = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in added}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.splitter = Splitter(Tokenizer.from_file(path))
-        self.cached, self.known = cached, {}
+        self.path, self.cached, self.known = path, cached, {}
+
+    @cached_property
+    def splitter(self) -> Splitter:
+        """Only encoding needs it."""
+        return Splitter(Tokenizer.from_file(self.path))
 
     def _ranks(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rank of the symbols at some places with the next ones, NO_RANK where no merge joins them."""
