@@ -9,11 +9,13 @@
     python -m oxbow report STORE          Markdown report
     python -m oxbow links STORE           lineage as Graphviz text
     python -m oxbow export STORE PATH     one JSON entry per line
+    python -m oxbow extract ROOT REQUESTS what the readers find in the files that lines {"path": ..} ask for, an answer a line, in order
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .checkpoint import cut
 from .operators import lineage, report, search
-from .sources import catalogue
+from .sources import catalogue, extract
 
 # Fixed value: seconds for which an answer may be older than the tree.
 FRESH = 10.0
@@ -31,7 +33,7 @@ FRESH = 10.0
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="oxbow", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, names in (("build", "root store"), ("refresh", "root store"), ("query", "store text"), ("find", "store"), ("check", "root store"), ("report", "store"), ("links", "store"), ("export", "store path_out")):
+    for verb, names in (("build", "root store"), ("refresh", "root store"), ("query", "store text"), ("find", "store"), ("check", "root store"), ("report", "store"), ("links", "store"), ("export", "store path_out"), ("extract", "root requests")):
         sub = verbs.add_parser(verb)
         for name in names.split():
             sub.add_argument(name)
@@ -70,6 +72,10 @@ def freshen(store: catalogue.Store, seconds: float) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("oxbow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.verb == "extract":
+        for row in extract.describe_requests(spark.read.text(args.requests), args.root).toLocalIterator():
+            print(json.dumps(row.asDict() | {"meta": row["meta"] and json.loads(row["meta"])}, ensure_ascii=False))
+        return 0
     store = catalogue.Store(spark, args.store)
     if args.verb == "build":
         print(store.publish(catalogue.build(spark, args.root), root=os.path.abspath(args.root)))

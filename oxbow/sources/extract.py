@@ -15,10 +15,13 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .isolated import LIMIT, Helper
+from .workbooks import describe_workbook
 
 # Size gates in bytes.
 HEADER, PARSED, COUNTED, COUNTED_GZ, DRAWN = (n << 20 for n in (1, 5, 100, 25, 20))
@@ -73,34 +76,7 @@ def parquet(path: str) -> dict:
 
 @register("xlsx", "xlsx", "xlsm")
 def workbook(path: str) -> dict:
-    """Sheets in workbook order; a header is the first of eight rows with two filled cells."""
-    tag = lambda e: e.tag.rsplit("}", 1)[-1]
-    with zipfile.ZipFile(path) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if tag(si) == "si"]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = []
-        for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if tag(e) == "sheet"):
-            target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))].lstrip("/")
-            count, columns = 0, []
-            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-                for _, row in ElementTree.iterparse(f):
-                    if tag(row) != "row":
-                        continue
-                    count += 1
-                    if not columns and count <= 8:
-                        cells = [_cell(c, shared, tag) for c in row]
-                        columns = cells if sum(bool(c) for c in cells) >= 2 else []
-                    row.clear()
-            sheets.append({"name": sheet.get("name"), "columns": columns, "n_columns": len(columns), "row_count": max(0, count - bool(columns)), "row_count_exact": True})
-    found = {"n_sheets": len(sheets), "sheet_names": [s["name"] for s in sheets], "sheets": sheets}
-    return found | ({"primary_sheet": sheets[0]["name"]} | {k: sheets[0][k] for k in ("columns", "n_columns", "row_count")} if len(sheets) == 1 else {})
-
-
-def _cell(cell, shared: list[str], tag) -> str:
-    text = "".join(e.text or "" for e in cell.iter() if tag(e) in ("v", "t"))
-    return shared[int(text)] if cell.get("t") == "s" and text else text
+    return describe_workbook(path)
 
 
 def _npy_header(data: bytes) -> dict:
@@ -209,6 +185,20 @@ def notebook(path: str) -> dict:
     return {"n_cells": len(cells), "n_code": kinds.count("code"), "n_markdown": kinds.count("markdown"), "kernel": kernel, "first_title": title}
 
 
+def _link_targets(text: str) -> Iterator[str]:
+    """Targets of [label](target), images left out: at each "](" some open bracket before it is no image's, and a target follows."""
+    done = 0
+    while (close := text.find("](", done)) >= 0:
+        label = text[max(done, text.rfind("]", done, close) + 1) : close]
+        begin = close - len(label)
+        done = close + 2
+        if any(c == "[" and text[begin + i - 1 : begin + i] != "!" for i, c in enumerate(label)):
+            target = text[done : done + 4096].lstrip().removeprefix("<")
+            end = next((i for i, c in enumerate(target) if c in ")>" or c.isspace()), len(target))
+            if end:
+                yield target[:end]
+
+
 @register("doc", "md")
 def markdown(path: str) -> dict:
     text = _text(path, PARSED)
@@ -216,7 +206,7 @@ def markdown(path: str) -> dict:
     title = re.search(r"(?m)^#\s+(.+?)\s*$", plain)
     blocks = (" ".join(b.split()) for b in re.split(r"\n\s*\n", plain))
     paragraph = next((b for b in blocks if b and b[0] not in "#>-*|!<="), None)
-    links = re.findall(r"(?<!!)\[[^\]]*\]\(\s*<?([^)\s>]+)", plain)
+    links = list(_link_targets(plain))
     spans = [s for s in re.findall(r"`([^`\n]+)`", plain) if re.search(r"[\w\-]\.\w{1,6}$", s) and " " not in s.strip()]
     refs = list(dict.fromkeys(r for r in [*links, *spans] if not r.startswith("#")))
     return {"h1_title": title and title[1], "first_paragraph": paragraph, "n_outbound_path_refs": len(refs), "outbound_refs": refs}
@@ -289,41 +279,84 @@ def read_one(root: str, path: str, ext: str) -> tuple[str, str, str | None]:
         return name, "{}", f"{type(e).__name__}: {e}"
 
 
-def describe(files: DataFrame, root: str, readers: dict[str, tuple[str, Reader]] | None = None) -> DataFrame:
-    """`files` (path, ext, is_symlink, error, ..) with extractor, meta and error. Links and rows with an error are not opened."""
+def describe(files: DataFrame, root: str, readers: dict[str, tuple[str, Reader]] | None = None, limit: float = LIMIT) -> DataFrame:
+    """`files` (path, ext, is_symlink, error, ..) with extractor, meta and error. Links and rows with an error are not opened.
+
+    Files are read in a child of the task: a reader that gives no answer within `limit` seconds, or ends its process, costs its own file
+    an error and no other.
+    """
     own = dict(_READERS) | (readers or {})
     columns = [c for c in files.columns if c not in ("extractor", "meta")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _READERS.update(own)
-        for batch in batches:
-            closed = batch["is_symlink"].fillna(False).astype(bool) | batch["error"].notna()
-            found = [("generic", "{}", e) if c else read_one(root, p, x) for p, x, c, e in zip(batch["path"], batch["ext"], closed, batch["error"])]
-            batch["extractor"], batch["meta"], batch["error"] = zip(*found) if found else ([], [], [])
-            yield batch
+        helper = _helper(limit, own)
+        try:
+            for batch in batches:
+                closed = batch["is_symlink"].fillna(False).astype(bool) | batch["error"].notna()
+                answers = helper.answers((root, p, x) for p, x, c in zip(batch["path"], batch["ext"], closed) if not c)
+                found = [("generic", "{}", e) if c else next(answers) for c, e in zip(closed, batch["error"])]
+                batch["extractor"], batch["meta"], batch["error"] = zip(*found) if found else ([], [], [])
+                yield batch
+        finally:
+            helper.close()
 
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in columns)
     return files.select(columns).mapInPandas(run, f"{schema}, extractor string, meta string")
 
 
-def describe_requests(lines: DataFrame, root: str) -> DataFrame:
-    """(value, path, extractor, meta, error) for request lines {"path": ..}, in any order; a malformed line is an error of its own."""
+def _helper(limit: float, readers: dict[str, tuple[str, Reader]] | None = None) -> Helper:
+    """A child that reads; `readers` are those of the driver, which the task's own copy of this module does not know."""
+    _READERS.update(readers or {})
+    failed = lambda request, reason: (_READERS.get(request[2], ("generic", None))[0], "{}", reason)
+    return Helper(read_one, failed, limit)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """`lines` with `line`, their number from 0 in the order of the partitions and within them; only a count a partition passes the driver."""
+    place = lines.withColumn("__at", F.monotonically_increasing_id())  # partition, then a count in it
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = {r["p"]: r["n"] for r in place.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    offsets = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)) if before else F.create_map().cast("map<bigint,bigint>")
+    return place.withColumn("line", F.element_at(offsets, part) + within).drop("__at")
+
+
+def describe_requests(lines: DataFrame, root: str, limit: float = LIMIT) -> DataFrame:
+    """(line, value, path, extractor, meta, error) for request lines {"path": ..}, in their order; blank lines are left out.
+
+    Every other line has one answer: a malformed one, a file that is not there and a reader that gave no answer are errors of their own.
+    """
+
+    own = dict(_READERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..functions.text import COMPOUND_EXTENSIONS
 
-        for batch in batches:
-            rows = []
-            for value in batch["value"]:
-                try:
-                    path = json.loads(value)["path"]
-                    low = path.lower()
-                    ext = next((c for c in COMPOUND_EXTENSIONS if low.endswith("." + c)), low.rsplit(".", 1)[-1] if "." in low else "")
-                    if not os.path.lexists(os.path.join(root, path)):
-                        raise FileNotFoundError(path)
-                    rows.append((value, path, *read_one(root, path, ext)))
-                except (ValueError, KeyError, TypeError, AttributeError, OSError) as e:
-                    rows.append((value, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["value", "path", "extractor", "meta", "error"])
-
-    return lines.where("trim(value) <> ''").mapInPandas(run, "value string, path string, extractor string, meta string, error string")
+        helper = _helper(limit, own)
+        try:
+            for batch in batches:
+                paths, errors, asked = [], [], []
+                for value in batch["value"]:
+                    path = error = None
+                    try:
+                        path = json.loads(value)["path"]
+                        low = path.lower()
+                        if not os.path.lexists(os.path.join(root, path)):
+                            raise FileNotFoundError(path)
+                        ext = next((c for c in COMPOUND_EXTENSIONS if low.endswith("." + c)), low.rsplit(".", 1)[-1] if "." in low else "")
+                        asked.append((root, path, ext))
+                    except (ValueError, KeyError, TypeError, AttributeError, OSError) as e:
+                        path, error = None, f"{type(e).__name__}: {e}"
+                    paths.append(path)
+                    errors.append(error)
+                answers = helper.answers(asked)
+                rows = [(None, None, e) if e else next(answers) for e in errors]
+                made = pd.DataFrame(rows, columns=["extractor", "meta", "error"])
+                yield pd.concat([batch[["line", "value"]].reset_index(drop=True), pd.Series(paths, name="path", dtype=object), made], axis=1)
+        finally:
+            helper.close()
+
+    asked = numbered(lines).where("trim(value) <> ''").select("line", "value")
+    return asked.mapInPandas(run, "line long, value string, path string, extractor string, meta string, error string").orderBy("line")

@@ -2,6 +2,7 @@ import hashlib
 import gzip
 import json
 import os
+import time
 import zipfile
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oxbow.operators import digest, lineage, search
-from oxbow.sources import catalogue, extract, tree
+from oxbow.sources import catalogue, extract, tree, workbooks
 
 
 @pytest.fixture()
@@ -253,3 +254,133 @@ def test_walk_in_rounds(spark, tmp_path):
     assert {r.path for r in tree.walk(spark, root, start=marks).collect()} == {"wide/f7/x.md", "d0/d1/d2/y.md"}
     assert tree.walk(spark, root, start=marks).count() == 2
     assert tree.walk(spark, root, start=spark.createDataFrame([("wide/f7/x.md",)], "path string"), prune="wide").count() == 0
+
+
+# Workbooks
+
+
+def put_book(path, sheets, strings=(), rels=True):
+    """sheets: (name, part, rows of cells, declared range); a cell is a number of a string, ("inline", text), a text value or None."""
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(c):
+        if c is None:
+            return "<c/>"
+        if isinstance(c, int):
+            return f'<c t="s"><v>{c}</v></c>'
+        return f'<c t="inlineStr"><is><t>{c[1]}</t></is></c>' if isinstance(c, tuple) else f"<c><v>{c}</v></c>"
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        listed = "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, (n, *_) in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        if rels:
+            z.writestr("xl/_rels/workbook.xml.rels", "<R>" + "".join(f'<Relationship Id="r{i}" Target="{p}"/>' for i, (_, p, *_) in enumerate(sheets)) + "</R>")
+        if strings:
+            with z.open("xl/sharedStrings.xml", "w") as f:
+                f.write(f'<sst xmlns="{ns}">'.encode())
+                for text in strings:
+                    f.write(f"<si>{text}</si>".encode())
+                f.write(b"</sst>")
+        for _, part, rows, declared in sheets:
+            dimension = f'<dimension ref="{declared}"/>' if declared else ""
+            body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+            z.writestr(f"xl/{part}", f'<worksheet xmlns="{ns}">{dimension}<sheetData>{body}</sheetData></worksheet>')
+
+
+def t(*texts):
+    return [f"<t>{x}</t>" for x in texts]
+
+
+def test_workbooks(tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    one = lambda rows, strings=(), declared=None, counted=workbooks.COUNTED: (put_book(path, [("S", "worksheets/sheet1.xml", rows, declared)], strings), workbooks.describe_workbook(path, counted))[1]
+    found = one([[0, 1], ["1", "2"], ["3", "4"]], t(" gene ", "score"))
+    assert found["columns"] == ["gene", "score"] and (found["n_columns"], found["row_count"], found["row_count_exact"]) == (2, 2, True)
+    assert found["primary_sheet"] == "S" and found["sheets"][0] == {"name": "S", "columns": ["gene", "score"], "n_columns": 2, "row_count": 2, "row_count_exact": True}
+    banner = one([[0, None, None], [("inline", "a"), ("inline", "b")], ["1", "2"]], t("Table 3. All of it"))
+    assert banner["columns"] == ["a", "b"] and banner["row_count"] == 1
+    single = one([[("inline", "only")], ["1"], ["2"]])
+    assert single["columns"] == ["only"] and single["row_count"] == 2
+    lone = one([[("inline", "only")], *([str(i)] for i in range(20))])  # no head within the first rows
+    assert lone["columns"] == ["only"] and lone["row_count"] == 20
+    assert one([])["row_count_reason"] == "empty" and one([])["row_count"] == 0
+    rows = [[("inline", "a"), ("inline", "b")], *(["1", "2"] for _ in range(50))]
+    gated = one(rows, declared="A1:B51", counted=10)
+    assert (gated["row_count"], gated["row_count_exact"], gated["row_count_reason"], gated["columns"]) == (50, False, "size_gated", ["a", "b"])
+    assert one(rows, counted=10)["row_count_reason"] == "no_dimension" and one(rows, counted=10)["row_count"] is None
+    rich = one([[1, 0, 2]], ["<r><t>bo</t></r><r><t>ld</t></r>", "<t>x &amp; y</t>", "<t></t>"])
+    assert rich["columns"] == ["x & y", "bold", ""]
+    put_book(path, [("Second", "worksheets/sheet2.xml", [[("inline", "q"), ("inline", "r")]], None), ("First", "worksheets/sheet1.xml", [[("inline", "z")]], None)])
+    two = workbooks.describe_workbook(path)
+    assert two["sheet_names"] == ["Second", "First"] and two["sheets"][0]["columns"] == ["q", "r"] and "columns" not in two and "primary_sheet" not in two
+    put_book(path, [(f"s{i}", f"worksheets/sheet{i + 1}.xml", [["1", "2"]], None) for i in range(70)], rels=False)
+    many = workbooks.describe_workbook(path)
+    assert many["n_sheets"] == 70 and many["sheets"][63]["row_count"] == 0 and many["sheets"][64]["row_count_reason"] == "sheet_cap"
+    (tmp_path / "~$lock.xlsx").write_bytes(b"no archive")
+    assert workbooks.describe_workbook(str(tmp_path / "~$lock.xlsx")) == {}
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<w><sheet name="broken"/></w>')
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet><row><c>")
+    assert workbooks.describe_workbook(path)["sheets"][0]["row_count_reason"] == "read_error"
+
+
+def test_a_workbook_of_many_strings_takes_little_memory(tmp_path):
+    """A hundred megabytes of shared strings, of which the head names two."""
+    import tracemalloc
+
+    path = str(tmp_path / "big.xlsx")
+    put_book(path, [("S", "worksheets/sheet1.xml", [[3, 99_000], ["1", "2"]], None)], (f"<t>{i:06d}{'x' * 1000}</t>" for i in range(100_000)))
+    tracemalloc.start()
+    found = workbooks.describe_workbook(path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [c[:6] for c in found["columns"]] == ["000003", "099000"] and peak < 8e6
+
+
+# Isolation and order
+
+
+def test_readers_that_hang_or_die_cost_their_own_files(spark, tmp_path):
+    names = [f"{i:03d}.{'hang' if i == 31 else 'die' if i in (7, 60) else 'bad' if i == 9 else 'ok'}" for i in range(90)]
+    for name in names:
+        (tmp_path / name).write_text(name)
+
+    def hang(path):
+        import time
+
+        time.sleep(600)
+
+    def die(path):
+        os._exit(7)
+
+    def bad(path):
+        raise ValueError("unreadable")
+
+    readers = {"hang": ("hang", hang), "die": ("die", die), "bad": ("bad", bad), "ok": ("ok", lambda path: {"size": os.path.getsize(path)})}
+    began = time.time()
+    found = {r.path: r for r in extract.describe(tree.walk(spark, str(tmp_path)).coalesce(2), str(tmp_path), readers, limit=3).collect()}
+    assert time.time() - began < 60 and len(found) == 90
+    errors = {p: r.error for p, r in found.items() if r.error}
+    assert errors == {"007.die": "ReaderDied: exit code 7", "009.bad": "ValueError: unreadable", "031.hang": "TimeoutError: no answer within 3 s", "060.die": "ReaderDied: exit code 7"}
+    assert all(json.loads(r.meta) == {"size": 6} for p, r in found.items() if p not in errors)
+
+
+def test_answers_come_in_the_order_of_the_requests(spark, tmp_path, capsys):
+    from oxbow.__main__ import main
+
+    for i in range(50):
+        (tmp_path / f"{i}.json").write_text(json.dumps({f"key{i}": 1}))
+    lines = [json.dumps({"path": f"{(i * 37) % 60}.json"}) for i in range(60)] + ["", "oops", '{"path": "0.json"}']
+    (tmp_path / "requests.txt").write_text("\n".join(lines))
+    asked = spark.read.text(str(tmp_path / "requests.txt")).repartition(1)
+    spread = spark.createDataFrame(spark.sparkContext.parallelize([(v,) for v in lines], 7), "value string")
+    for frame in (asked, spread):
+        found = extract.describe_requests(frame, str(tmp_path)).collect()
+        assert [r.value for r in found] == [v for v in lines if v] and [r.line for r in found] == [i for i, v in enumerate(lines) if v]
+        for r in found:
+            number = r.path and r.path.split(".")[0]
+            assert (json.loads(r.meta)["top_level_keys"] == [f"key{number}"]) if r.path else r.error
+    assert extract.describe_requests(spread.limit(0), str(tmp_path)).collect() == []
+    main(["extract", str(tmp_path), str(tmp_path / "requests.txt")], spark)
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [r["value"] for r in out] == [v for v in lines if v]
