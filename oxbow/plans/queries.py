@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions import text as X
-from ..operators import delta, digest, facets, journal, lineage, rank, search, tree, upkeep
+from ..operators import delta, digest, expand, facets, journal, lineage, rank, search, tree, upkeep
 from ..sources import tables as T
 from ..sources.catalogue import lean
 from ..streaming import live
@@ -365,6 +365,22 @@ def subtree_scope(spark, sf_dir):
     return tree.subtree(parts, "Brand#1").unionByName(tree.subtree(parts, "Brand#13")).select("path")
 
 
+@register(
+    f"""WITH f AS (SELECT string_split(path, '/') AS p FROM {PART}), d AS (SELECT DISTINCT list_slice(p, 1, n) AS p FROM f, range(1, len(p)) r(n)),
+    a AS (SELECT p, 0 AS dir FROM f UNION ALL SELECT p, 1 FROM d),
+    n AS (SELECT array_to_string(list_slice(p, 1, n), '/') AS path, n, len(p) AS depth, dir FROM a, range(0, len(p)) r(n))
+    SELECT coalesce(path, '') AS path, count(*) FILTER (n = depth - 1 AND dir = 0) AS own_files, count(*) FILTER (n = depth - 1 AND dir = 1) AS own_dirs,
+    count(*) FILTER (dir = 0) AS files, count(*) FILTER (dir = 1) AS dirs FROM n GROUP BY 1"""
+)
+def folder_counts(spark, sf_dir):
+    return expand.folder_counts(T.parts(spark, sf_dir)).drop("parent")
+
+
+@register()
+def expand_plan(spark, sf_dir):
+    return expand.expand(expand.folder_counts(T.parts(spark, sf_dir)), budget=1500)[1]
+
+
 # Aggregates kept up by changes: rows of `events` by their size stay, leave, are replaced or come
 
 

@@ -268,3 +268,57 @@ def test_aggregates_follow_changes(spark):
         assert shown(upkeep.rollup_of(state)) == shown(tree.rollup(current))
         assert shown(counts) == shown(facets.facets(current)) and shown(summary) == shown(facets.summary(current))
     assert delta.apply_delta(current, frame(new), removed).count() == len(rows)
+
+
+def plain_plan(tree, root, budget):
+    """The walk by plain recursion; tree: {folder: (own files, [child folders in order])}."""
+    size = lambda d: tree[d][0] + sum(1 + size(c) for c in tree[d][1])
+    below = lambda d: [d, *(x for c in tree[d][1] for x in below(c))]
+    opened, closed = [], []
+
+    def spend(d, left):
+        cost = tree[d][0] + len(tree[d][1])
+        if cost > left:
+            closed.extend(below(d))
+            return 0
+        opened.append(d)
+        used, later = cost, []
+        for c in tree[d][1]:
+            if size(c) <= left - used:
+                opened.extend(below(c))
+                used += size(c)
+            else:
+                later.append(c)
+        for c in later:
+            used += spend(c, left - used)
+        return used
+
+    rows = spend(root, budget)
+    return sorted(opened), len(closed), rows
+
+
+def test_expand_plans(spark, data):
+    import random
+
+    from oxbow.operators import expand
+    from oxbow.sources import tables
+
+    rng = random.Random(5)
+    paths = {"/".join(rng.choice("abcDé") for _ in range(rng.randrange(5))) + f"/f{i}" for i in range(400)}
+    paths = {p.lstrip("/") for p in paths} | {f"wide/{i:03d}/x" for i in range(90)}
+    counts = expand.folder_counts(spark.createDataFrame([(p,) for p in paths], "path string")).cache()
+    folders = {r.path: r for r in counts.collect()}
+    key = lambda p: (p.rsplit("/", 1)[-1].lower(), p)
+    tree = {p: (r.own_files, sorted((q for q, c in folders.items() if c.parent == p), key=key)) for p, r in folders.items()}
+    assert folders[""].files == len(paths) and folders[""].dirs == len(folders) - 1
+    for root in ("", "a", "wide"):
+        for budget in (0, 3, 20, 45, 90, 120, 250, 9000):
+            plan, opened = expand.expand(counts, root, budget)
+            want, closed, rows = plain_plan(tree, root, min(budget, expand.CEILING))
+            assert sorted(r.path for r in opened.collect()) == want and (plan.rows, plan.closed, plan.opened) == (rows, closed, len(want)), (root, budget)
+            assert plan.rows <= plan.budget and plan.truncated == bool(closed) and plan.files == sum(tree[p][0] for p in want)
+            assert plan.rows == plan.files + sum(len(tree[p][1]) for p in want)
+    assert expand.expand(counts, "not/there")[1].count() == 0
+    plan, opened = expand.expand(expand.folder_counts(tables.parts(spark, data)), budget=150)
+    own = {r.path: r.own_files for r in opened.collect()}
+    assert 0 < plan.rows <= 150 and "" in own and plan.files == sum(own.values()) and plan.truncated
