@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from ..functions import text as X
 from ..operators.delta import reusable
 from ..operators.search import haystack
 from .extract import describe
+from .files import Folder
+from .manifest import entry_texts, write_document
 from .store import Store as Store
 from .tree import walk
 
@@ -64,6 +66,12 @@ def entries_of(catalog: DataFrame) -> DataFrame:
     return catalog.select(*(iso.alias(c) if c == "mtime_iso" else F.col(c) for c in (p.split()[0] for p in ENTRY.split(", "))))
 
 
+def _fields() -> list:
+    names = [p.split()[0] for p in ENTRY.split(", ")]
+    meta = F.coalesce(F.get_json_object("value", "$.meta"), F.lit("{}"))
+    return [meta.alias(c) if c == "meta" else F.col(f"e.{c}") for c in names]
+
+
 def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Entries of a line-per-entry file, `meta` kept as text. Bad lines are skipped, or with `strict` end the read."""
     lines = spark.read.text(path).where("trim(value) <> ''")
@@ -72,26 +80,29 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return found.select(*_fields())
 
 
-def _fields() -> list:
-    names = [p.split()[0] for p in ENTRY.split(", ")]
-    meta = F.coalesce(F.get_json_object("value", "$.meta"), F.lit("{}"))
-    return [meta.alias(c) if c == "meta" else F.col(f"e.{c}") for c in names]
-
-
-def write_jsonl(catalog: DataFrame, path: str) -> None:
-    """Entries in path order, a line each; range-sorted files, so the whole is ordered without one task holding it."""
+def entry_lines(catalog: DataFrame) -> DataFrame:
+    """(value): entries in path order as JSON texts; range-sorted, so the whole is ordered without one task holding it."""
     entries = entries_of(catalog)
     whole = F.to_json(F.struct(*(c for c in entries.columns if c != "meta")))
     line = F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"meta":'), F.coalesce("meta", F.lit("{}")), F.lit("}"))
-    entries.orderBy("path").select(line.alias("value")).write.mode("overwrite").text(path)
+    return entries.orderBy("path").select(line.alias("value"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a single-document manifest {.., "entries": [..]}."""
-    text = spark.read.text(path, wholetext=True)
-    items = text.select(F.explode(F.from_json(F.get_json_object("value", "$.entries"), "array<string>")).alias("value"))
-    fields = F.from_json("value", ENTRY)
-    return items.select("value", fields.alias("e")).select(*_fields())
+def write_jsonl(catalog: DataFrame, path: str) -> None:
+    """Entries in path order, a line each."""
+    entry_lines(catalog).write.mode("overwrite").text(path)
+
+
+def read_index(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Entries of a single-document manifest (see `manifest`). A bad entry ends the read, or without `strict` is left out."""
+    values = entry_texts(spark, path)
+    parsed = values.select("value", F.from_json("value", ENTRY, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("e"))
+    if strict:
+        nameless = F.raise_error(F.concat(F.lit("an entry has no path: "), F.substring("value", 1, 200)))
+        parsed = parsed.withColumn("e", F.when(F.col("e.path").isNull(), nameless).otherwise(F.col("e")))
+    else:
+        parsed = parsed.where("e.path is not null")
+    return parsed.select(*_fields())
 
 
 # Metadata lists that a lean row cuts.
@@ -113,15 +124,21 @@ def lean(catalog: DataFrame, most: int = 48, keys: tuple[str, ...] = LONG_LISTS,
     )
 
 
-def header(catalog: DataFrame, digest: str) -> str:
-    """The one-document header of a manifest, as JSON."""
+def header(catalog: DataFrame, digest: str) -> dict:
+    """What a manifest says before its entries."""
     from ..operators.facets import summary, summary_maps
 
     counts = summary(catalog).first().asDict() | summary_maps(catalog).first().asDict()
-    return json.dumps({"schema_version": "1.0", "content_digest": digest, "summary": counts})
+    return {"schema_version": "1.0", "content_digest": digest, "summary": counts}
 
 
 def write_index(catalog: DataFrame, digest: str, path: str) -> None:
-    """A manifest in two parts that any reader of lines can put together: `header`, and beside it the entries in path order."""
-    catalog.sparkSession.createDataFrame([(header(catalog, digest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    write_jsonl(catalog, f"{path}/entries")
+    """A manifest as one document, which `read_index` reads again."""
+    write_document(entry_lines(catalog), header(catalog, digest), path)
+
+
+def peek(spark: SparkSession, path: str, most: int = 1 << 18) -> str | None:
+    """The content digest of a manifest from its first bytes, without reading its entries; null where they do not tell it."""
+    folder, _, name = path.rpartition("/")
+    found = re.search(r'"content_digest"\s*:\s*"([^"]*)"', Folder(spark, folder or ".").start(name, most))
+    return found[1] if found else None

@@ -35,6 +35,15 @@ class Folder:
         finally:
             stream.close()
 
+    def start(self, name: str, most: int) -> str:
+        """The first bytes of a file, as far as they are text."""
+        path, fs = self._at(name)
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readNBytes(most)).decode(errors="ignore")
+        finally:
+            stream.close()
+
     def write(self, name: str, text: str, replace: bool = False) -> bool:
         """Write a file that readers see whole or not at all. Without `replace` the first writer of a name wins; False for the others."""
         path, fs = self._at(name)
@@ -53,6 +62,26 @@ class Folder:
         fs.delete(made, False)
         return False
 
+    def join(self, parts: list[str], name: str, head: str, tail: str, skip: int = 0) -> None:
+        """One file of the parts in order, without the first `skip` bytes of all, put in place of `name` once it is whole."""
+        path, fs = self._at(name)
+        made, _ = self._at(f".{uuid.uuid4().hex}.tmp")
+        out = fs.create(made)
+        try:
+            out.write(head.encode())
+            for part in parts:
+                stream = fs.open(self._at(part)[0])
+                try:
+                    skip -= stream.skip(skip) if skip else 0
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                finally:
+                    stream.close()
+            out.write(tail.encode())
+        finally:
+            out.close()
+        fs.delete(path, True)
+        fs.rename(made, path)
+
     def rename(self, old: str, new: str) -> bool:
         (a, fs), (b, _) = self._at(old), self._at(new)
         return fs.rename(a, b)

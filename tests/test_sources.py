@@ -174,10 +174,16 @@ def test_lean_rows_and_index(spark, root, tmp_path):
     assert len(row["columns"]) == 48 and row["n_columns_total"] == 60 and row["defs"] == ["a"] and row["n_defs_total"] is None
     assert row["first_paragraph"] == "x" * 600 + "…" and row["n_layers_total"] is None
     built = catalogue.build(spark, root)
-    catalogue.write_index(built, "d1", str(tmp_path / "index"))
-    head = json.loads(spark.read.text(str(tmp_path / "index" / "header")).first().value)
-    assert head["content_digest"] == "d1" and sum(head["summary"]["by_category"].values()) == sum(head["summary"]["by_ext"].values()) == built.count()
-    assert catalogue.read_jsonl(spark, str(tmp_path / "index" / "entries"), strict=True).count() == built.count()
+    path = str(tmp_path / "INDEX.json")
+    catalogue.write_index(built, "d1", path)
+    document = json.load(open(path))
+    assert document["content_digest"] == catalogue.peek(spark, path) == "d1" and [e["path"] for e in document["entries"]] == sorted(r.path for r in built.collect())
+    assert sum(document["summary"]["by_category"].values()) == sum(document["summary"]["by_ext"].values()) == built.count()
+    rows = lambda df: sorted(str(r.asDict() | {"meta": json.loads(r.meta)}) for r in df.collect())
+    assert rows(catalogue.read_index(spark, path)) == rows(catalogue.entries_of(built)) and os.listdir(tmp_path).count("INDEX.json.parts") == 0
+    catalogue.write_index(built.limit(0), "d2", path)  # replaced whole
+    assert json.load(open(path))["entries"] == [] and catalogue.read_index(spark, path).count() == 0 and catalogue.peek(spark, path) == "d2"
+
 
 
 def test_digests_find_the_segments_that_differ(spark, tmp_path):
@@ -384,3 +390,39 @@ def test_answers_come_in_the_order_of_the_requests(spark, tmp_path, capsys):
     main(["extract", str(tmp_path), str(tmp_path / "requests.txt")], spark)
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert [r["value"] for r in out] == [v for v in lines if v]
+
+
+def test_one_document_is_read_by_many_tasks(spark, tmp_path):
+    """Every cut falls somewhere: in strings with braces, quotes and backslashes, in nested values, across entries longer than a range."""
+    entries = [
+        {"path": f"a/{i}", "size_bytes": i, "tags": ["x{", '"}', "\\"], "meta": {"k": ["}", {"q": '\\"{[', "n": [[1], {}]}], "é": "ü" * (i % 7), "long": "]" * (900 if i % 50 == 3 else 0)}}
+        for i in range(200)
+    ]
+    path = str(tmp_path / "INDEX.json")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size, indent in (("97b", None), ("251b", 1), ("1000b", None), ("128m", 2)):
+            with open(path, "w") as f:
+                json.dump({"a": {"b": [{"c": 1}], "d": "[{"}, "entries": entries, "summary": {"n": {"x": {"y": "}"}}}, "z": []}, f, indent=indent, ensure_ascii=indent is None)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = catalogue.read_index(spark, path)
+            found = {r.path: (r.size_bytes, r.tags, json.loads(r.meta)) for r in read.collect()}
+            assert found == {e["path"]: (e["size_bytes"], e["tags"], e["meta"]) for e in entries}, size
+            assert spark.read.text(path, lineSep="}").rdd.getNumPartitions() > 100 or size in ("1000b", "128m")
+        with open(path, "w") as f:
+            f.write('{"entries": [{"path": "a"}, {"path": 3, "size_bytes": "many"}]}')
+        with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+            catalogue.read_index(spark, path).collect()
+        assert [r.path for r in catalogue.read_index(spark, path, strict=False).collect()][:1] == ["a"]
+        with open(path, "w") as f:
+            f.write('{"entries": [{"path": "a"}, {"nothing": 1}]}')
+        with pytest.raises(Exception, match="no path"):
+            catalogue.read_index(spark, path).collect()
+        with open(path, "w") as f:
+            f.write('{"entries": [{"path": "a"}, {"pa')
+        with pytest.raises(ValueError, match="no whole document"):
+            catalogue.read_index(spark, path)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
