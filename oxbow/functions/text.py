@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,12 +72,74 @@ def nfd_fold(text: Column) -> Column:
     return ascii_fold(_only_where_needed(text, _nfd))
 
 
-def with_nfd_folds(rows: DataFrame, folds: dict[str, str]) -> DataFrame:
-    """`rows` with columns (new name: column) that hold `nfd_fold` of others. Rows of ASCII alone form a branch of their own, which
-    needs no Python."""
-    odd = F.coalesce(F.concat_ws("", *(F.col(c) for c in folds.values())).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    plain = rows.where(~odd).withColumns({new: ascii_fold(F.col(c)) for new, c in folds.items()})
-    return plain.unionByName(rows.where(odd).withColumns({new: ascii_fold(_nfd(F.col(c))) for new, c in folds.items()}))
+@lru_cache(maxsize=1)
+def _composed() -> dict[str, str]:
+    """Characters that canonical decomposition takes apart, with what it leaves of each, folded."""
+    every = (chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: nfd_token(c) for c in every if unicodedata.normalize("NFD", c) != c}
+
+
+@lru_cache(maxsize=1)
+def _by_parts() -> dict[str, str]:
+    found: dict[str, str] = {}
+    for char, parts in _composed().items():
+        found[parts] = found.get(parts, "") + char
+    return found
+
+
+def _joins(char: str) -> bool:
+    """Whether a character may be composed with the one before it: combining marks, and the later letters of a Korean syllable."""
+    return unicodedata.combining(char) > 0 or 0x1161 <= ord(char) <= 0x11FF
+
+
+def _class(chars: str) -> str:
+    """A pattern of one of some characters, as ranges."""
+    points, ranges = sorted(set(map(ord, chars))), []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]"
+
+
+@lru_cache(maxsize=1)
+def composed_class() -> str:
+    return _class("".join(_composed()))
+
+
+@lru_cache(maxsize=256)
+def nfd_pattern(token: str) -> tuple[str, bool]:
+    """(pattern, whether it is more than the literal): a folded, decomposed token as it may stand in a text that is neither.
+
+    Each letter with its marks may stand composed, in part or whole; the last one also with further marks. Marks that follow one letter count in their canonical order.
+    """
+    clusters: list[str] = []
+    for char in token:
+        if clusters and _joins(char):
+            clusters[-1] += char
+        else:
+            clusters.append(char)
+    more, parts = False, []
+    for i, cluster in enumerate(clusters):
+        forms = [re.escape(cluster)]
+        for k in range(1, len(cluster) + 1):
+            if chars := _by_parts().get(cluster[:k]):
+                forms.append(_class(chars) + re.escape(cluster[k:]))
+        if i == len(clusters) - 1 and (chars := "".join(c for p, c in _by_parts().items() if len(p) > len(cluster) and p.startswith(cluster))):
+            forms.append(_class(chars))
+        if i == 0 and _joins(cluster[0]) and (chars := "".join(c for p, c in _by_parts().items() if len(p) > len(cluster) and p.endswith(cluster))):
+            forms.append(_class(chars))
+        more = more or len(forms) > 1
+        parts.append(forms[0] if len(forms) == 1 else f"(?:{'|'.join(forms)})")
+    return "".join(parts), more
+
+
+def holds(folded: Column, token: str) -> Column:
+    """Whether an `ascii_fold`ed text holds a token (see `nfd_token`), composed or decomposed; no decomposition of the text is needed."""
+    literal = F.contains(folded, F.lit(token))
+    pattern, more = nfd_pattern(token)
+    return literal | (folded.rlike(r"[^\x00-\x7F]") & folded.rlike(pattern)) if more else literal
 
 
 def nfd_token(text: str) -> str:

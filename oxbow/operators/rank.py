@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, nfd_token, with_nfd_folds
-from .search import Search, condition, has, order, with_name
+from ..functions.text import ascii_fold, basename, composed_class, holds, nfd_pattern, nfd_token
+from .search import Search, condition, order, with_name
 
 BAND, FOLDERS = 20, 3
 
@@ -19,33 +18,38 @@ def tier_of(name: Column, path: Column, tokens: list[str]) -> Column:
     """1 if every token is in the folded name, 2 if every token is in the folded path (or there is none), else null."""
     if not tokens:
         return F.lit(2)
-    in_name = reduce(and_, (has(name, t) for t in tokens))
-    in_path = reduce(and_, (has(name, t) | has(path, t) for t in tokens))
+    in_name = reduce(and_, (holds(name, t) for t in tokens))
+    in_path = reduce(and_, (holds(name, t) | holds(path, t) for t in tokens))
     return F.when(in_name, 1).when(in_path, 2)
 
 
-def boundary(name: Column, tokens: list[str], folded: Column | None = None) -> Column:
+def boundary(name: Column, tokens: list[str]) -> Column:
     """Whether some token starts, at any of its places, at the name's start, after / - . _ or a digit, or as an upper-case letter
-    after any other. The last needs the name to have kept its length in folding; `folded` is its `nfd_fold`, if not ASCII alone."""
+    after any other. The last needs a name whose decomposition is as long as itself."""
     parts = []
-    kept = F.lit(True) if folded is None else F.char_length(name) == F.char_length(folded)
     for token in filter(None, tokens):
-        literal = re.escape(token)
-        parts.append((name if folded is None else folded).rlike(rf"(?i)(?:^|(?<=[/\-._0-9])){literal}"))
+        pattern, _ = nfd_pattern(token)
+        parts.append(name.rlike(rf"(?i)(?:^|(?<=[/\-._0-9])){pattern}"))
         if token[0].isascii() and token[0].isalpha():
-            rest = re.escape(token[1:])
-            parts.append(kept & name.rlike(rf"(?<![A-Z]){token[0].upper()}(?i:{rest})"))
+            rest, _ = nfd_pattern(token[1:]) if len(token) > 1 else ("", False)
+            kept = ~name.rlike(r"[^\x00-\x7F]") | ~name.rlike(composed_class())
+            parts.append(name.rlike(rf"(?<![A-Z]){token[0].upper()}(?i:{rest})") & kept)
     return reduce(or_, parts) if parts else F.lit(False)
 
 
+def _folded(rows: DataFrame, column: str) -> Column:
+    """The stored fold of a column, or the fold of it."""
+    return F.col(f"{column}_fold") if f"{column}_fold" in rows.columns else ascii_fold(F.col(column))
+
+
 def tree_rows(catalog: DataFrame, search: Search, found_elsewhere: DataFrame | None = None) -> DataFrame:
     """Files that pass the filters and hold every token in their path, or whose path is in `found_elsewhere` (path)."""
-    passing = with_nfd_folds(catalog.where(condition(Search([], search.filters), "ui")), {"__path": "path"})
-    in_path = reduce(and_, (has(F.col("__path"), nfd_token(t)) for t in search.free), F.lit(True))
+    passing = catalog.where(condition(Search([], search.filters), "ui"))
+    in_path = reduce(and_, (holds(_folded(passing, "path"), nfd_token(t)) for t in search.free), F.lit(True))
     if found_elsewhere is None:
-        return passing.where(in_path).drop("__path")
+        return passing.where(in_path)
     marks = found_elsewhere.select("path", F.lit(True).alias("__found")).distinct()
-    return passing.join(marks, "path", "left").where(in_path | F.coalesce("__found", F.lit(False))).drop("__found", "__path")
+    return passing.join(marks, "path", "left").where(in_path | F.coalesce("__found", F.lit(False))).drop("__found")
 
 
 def folder_hits(dirs: DataFrame, tokens: list[str], k: int = FOLDERS) -> DataFrame:
@@ -53,8 +57,7 @@ def folder_hits(dirs: DataFrame, tokens: list[str], k: int = FOLDERS) -> DataFra
     if not tokens or k <= 0:
         return dirs.limit(0).select("path", F.lit(1).alias("rank"))
     name = basename(F.col("path"))
-    folded = with_nfd_folds(dirs.withColumn("__name", name), {"__fold": "__name"})
-    hits = folded.where(reduce(and_, (has(F.col("__fold"), nfd_token(t)) for t in tokens)))
+    hits = dirs.where(reduce(and_, (holds(ascii_fold(name), nfd_token(t)) for t in tokens)))
     top = hits.orderBy(F.char_length(name), "path").limit(k)
     rank = F.row_number().over(Window.orderBy(F.char_length(name), "path"))  # at most k rows
     return top.select("path", rank.alias("rank"))
@@ -78,25 +81,24 @@ def top_hits(
     """
     tokens = [nfd_token(t) for t in search.free]
     files = with_name(catalog).where(condition(Search([], search.filters), "ui"))
-    files = with_nfd_folds(files, {"__name": "name", "__path": "path"})
-    name, path = F.col("__name"), F.col("__path")
+    name, path = _folded(files, "name"), _folded(files, "path")
     tier = tier_of(name, path, tokens)
     if tokens and found_elsewhere is not None:
         marks = found_elsewhere.select("path", F.lit(3).alias("__tier")).distinct()
         files = files.join(marks, "path", "left")
         tier = F.coalesce(tier, F.col("__tier"))
-    held = [has(path, t) for t in tokens]
+    held = [holds(path, t) for t in tokens]
     matched = reduce(add, (h.cast("int") for h in held), F.lit(0))
     partial_tier = F.when(
-        reduce(and_, (~h | has(name, t) for h, t in zip(held, tokens)), F.lit(True)), 1
+        reduce(and_, (~h | holds(name, t) for h, t in zip(held, tokens)), F.lit(True)), 1
     ).otherwise(2)
-    partial_boundary = reduce(or_, (h & boundary(F.col("name"), [t], name) for h, t in zip(held, tokens)), F.lit(False))
+    partial_boundary = reduce(or_, (h & boundary(F.col("name"), [t]) for h, t in zip(held, tokens)), F.lit(False))
     full = tier.isNotNull()
     ranked = files.select(
         "path", "name", "category", "size_bytes", "mtime",
         F.coalesce(tier, partial_tier).alias("tier"),
         F.when(full, F.lit(len(tokens))).otherwise(matched).alias("matched"),
-        F.when(full, boundary(F.col("name"), tokens, name)).otherwise(partial_boundary).alias("boundary"),
+        F.when(full, boundary(F.col("name"), tokens)).otherwise(partial_boundary).alias("boundary"),
         full.alias("full"),
     ).where("full or matched > 0")
     best = [F.col("matched").desc(), F.col("tier"), F.col("boundary").desc(), *order(sort, collation)]
