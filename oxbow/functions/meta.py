@@ -30,8 +30,13 @@ def strings_at(meta: Column, key: str) -> Column:
     return F.from_json(F.get_json_object(meta, f"$.{key}"), "array<string>")
 
 
+def top_keys(meta: Column) -> Column:
+    """Top-level keys in their order; null for what is no object."""
+    return F.json_object_keys(meta)
+
+
 def has_key(meta: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(meta), key), F.lit(False))
+    return F.coalesce(F.array_contains(top_keys(meta), key), F.lit(False))
 
 
 def without_keys(meta: Column, keys: list[str]) -> Column:

@@ -28,12 +28,8 @@ CATEGORIES = {
     "log": ["log", "out", "err"],
     "archive": ["gz", "tgz", "zip", "tar"],
 }
-# Default tags as (pattern, tag).
-TAGS = [
-    ("d70", "d70"), ("d100", "d100"), ("pasca_hcs", "pasca_hcs"), ("qian", "qian"), ("braun", "braun"), ("hnoca", "hnoca"),
-    ("phase3", "phase3"), ("phase4", "phase4"), ("cascade_v3", "cascade_v3"), ("popv_v4", "popv_v4"), ("popv_v5", "popv_v5"),
-    (r"leiden_2\.0|legacy|stale|_archived", "legacy"), (r"leiden_cosine_2\.0|important_assets", "canonical"),
-]
+# Default tags as (pattern, tag): none, since what a path means is its owner's to say. For example [(r"_archived|legacy", "legacy")].
+TAGS: list[tuple[str, str]] = []
 COMPOUND_EXTENSIONS = ["csv.gz", "tsv.gz"]
 
 
@@ -241,6 +237,24 @@ def relative_time(seconds_ago: Column) -> Column:
     return F.when(seconds_ago.isNull(), "").otherwise(shown)
 
 
+def recency(seconds_ago: Column) -> Column:
+    """today below 24 hours, week below 7 days, older beyond and where the time is not known; later than now counts as today."""
+    return F.when(seconds_ago < 86_400, "today").when(seconds_ago < 604_800, "week").otherwise("older")
+
+
+def label_tokens(text: Column) -> Column:
+    """Words of 2 to 40 characters that are not numbers, in lower case, each where it is first seen."""
+    words = F.filter(F.split(text, " "), lambda w: F.char_length(w).between(2, 40) & ~w.rlike(r"^[0-9.,+-]+$"))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+
+
+def embeddable(text: Column) -> Column:
+    """JSON text for a script element of a page: <, > and & as escapes, so that nothing in it can end the element."""
+    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
+
+
 def path_form(root: str, path: Column, form: str) -> Column:
     """A path as absolute, relative, posix or file URI text; an empty path or root gives an empty absolute form."""
     absolute = F.when(path == "", F.lit(root)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)) if root else F.lit("")

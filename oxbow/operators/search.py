@@ -167,6 +167,20 @@ def filter_files(
     return catalog.where(F.coalesce(reduce(and_, parts, F.lit(True)), F.lit(False)))
 
 
+def active(catalog: DataFrame, categories: list[str]) -> DataFrame:
+    """Rows of the categories that are switched on; rows without one count as other."""
+    return catalog.where(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("other")).isin(categories))
+
+
+# Fixed value: rows of a full listing.
+LISTING_LIMIT = 5_000_000
+
+
+def listing(catalog: DataFrame, most: int = LISTING_LIMIT) -> DataFrame:
+    """All rows in path order, up to a limit. A sort by ranges, not a top-k: the limit is as large as most catalogues."""
+    return catalog.orderBy("path").limit(most)
+
+
 SORTS = {
     "name": ["name"],
     "newest": ["-mtime"],

@@ -60,9 +60,9 @@ def child_counts(tree: DataFrame) -> DataFrame:
 
 
 def children(tree: DataFrame, parent: str, limit: int = 500, offset: int = 0) -> DataFrame:
-    """One page of a directory: directories first, then by name and path."""
+    """One page of a directory: directories first, then by the name's key (see `norm_key`) and path."""
     own = tree.where(F.col("parent") == parent)
-    return own.orderBy(F.col("is_dir").desc(), F.lower("name"), "path").offset(offset).limit(limit)
+    return own.orderBy(F.col("is_dir").desc(), norm_key(F.col("name")), "path").offset(offset).limit(limit)
 
 
 def sort_directories(totals: DataFrame, by: str = "name") -> DataFrame:

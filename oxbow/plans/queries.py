@@ -565,10 +565,23 @@ _EDGES = f"(SELECT DISTINCT src, ref FROM {_REFS} WHERE ref <> '')"
 
 @register(f"SELECT 'refs' AS direction, ref AS other, count(*) AS n FROM {_EDGES} GROUP BY ref UNION ALL SELECT 'ref_by', src, count(*) FROM {_EDGES} GROUP BY src")
 def page_neighbours(spark, sf_dir):
-    """How many refer to each reference of the pages, and to how many each page refers."""
-    edges = lineage.references(T.pages(spark, sf_dir)).select("src", "ref").distinct()
-    count = lambda d, c: edges.groupBy(F.col(c).alias("other")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(d).alias("direction"), "other", "n")
-    return count("refs", "ref").unionByName(count("ref_by", "src"))
+    """From how many pages each reference is referred to, and to how many each page refers."""
+    edges = lineage.references(T.pages(spark, sf_dir)).select("src", F.col("ref").alias("dst"))
+    turned = F.when(F.col("direction") == "refs", "ref_by").otherwise("refs")
+    return lineage.degrees(edges).select(turned.alias("direction"), F.col("path").alias("other"), "n")
+
+
+@register(
+    """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem)
+    SELECT src AS path, 'refs' AS direction, array_to_string(list(dst ORDER BY dst), ' ') AS others FROM e GROUP BY src
+    UNION ALL SELECT dst, 'ref_by', array_to_string(list(src ORDER BY src), ' ') FROM e GROUP BY dst"""
+)
+def graph_neighbours(spark, sf_dir):
+    """Customers refer to their orders, and orders to their suppliers: all neighbours of every node."""
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    orders = T.read(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
+    lines = T.read(spark, sf_dir, "lineitem").select(name("o", "l_orderkey").alias("src"), name("s", "l_suppkey").alias("dst"))
+    return lineage.all_neighbours(orders.unionByName(lines)).select("path", "direction", F.array_join("others", " ").alias("others"))
 
 
 @register(
@@ -631,10 +644,9 @@ def drift_json_reordered(spark, sf_dir):
 
 
 @register(
-    """WITH c AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'added' WHEN o_orderkey % 9 = 0 THEN 'removed'
+    """SELECT path, change FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'added' WHEN o_orderkey % 9 = 0 THEN 'removed'
       WHEN o_orderkey % 5 = 0 OR o_orderkey % 6 = 0 OR o_orderkey % 8 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 10 = 1 OR o_orderkey % 14 = 1
-        OR o_orderkey % 15 = 1 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 9 <> 0)
-    SELECT change, count(*) AS n FROM c WHERE change IS NOT NULL GROUP BY change"""
+        OR o_orderkey % 15 = 1 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 9 <> 0) WHERE change IS NOT NULL"""
 )
 def view_delta(spark, sf_dir):
     """Each of the seven fields changes in rows of its own."""
@@ -650,7 +662,7 @@ def view_delta(spark, sf_dir):
         kept = key % 9 != 0 if later else key % 7 != 0
         return T.read(spark, sf_dir, "orders").where(kept).select(*(c.alias(n) for n, c in fields.items()))
 
-    return delta.diff(state(False), state(True), delta.VIEW_FIELDS).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return delta.diff(state(False), state(True), delta.VIEW_FIELDS)
 
 
 @register(f"SELECT path, size_bytes, extractor, meta FROM {_NEW}")
@@ -783,14 +795,12 @@ def defer_events(spark, sf_dir):
       IF length(t) BETWEEN 2 AND 40 AND NOT regexp_full_match(t, '[0-9.,+-]+')])), ' ') AS tokens FROM documents"""
 )
 def text_tokens(spark, sf_dir):
-    words = F.filter(F.split("text", " "), lambda t: F.char_length(t).between(2, 40) & ~t.rlike(r"^[0-9.,+-]+$"))
-    tokens = F.array_sort(F.array_distinct(F.transform(words, lambda t: F.lower(t))))
-    return T.read(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens, " ").alias("tokens"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(X.label_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 @register("SELECT event_id, array_to_string(json_keys(props), ' ') AS keys, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events")
 def json_top_keys(spark, sf_dir):
-    keys = F.json_object_keys("props")
+    keys = M.top_keys(F.col("props"))
     return T.read(spark, sf_dir, "events").select("event_id", F.array_join(keys, " ").alias("keys"), F.size(keys).alias("n_keys"))
 
 
@@ -821,14 +831,35 @@ def ontology_tags(spark, sf_dir):
     return T.parts(spark, sf_dir).select("path", F.array_join(X.tags_for(F.col("path"), rules), " ").alias("tags"))
 
 
-@register(
-    f"""SELECT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f KB', floor(size_bytes / 102.4 + 0.5) / 10) END AS shown FROM {DOCS}
-    WHERE size_bytes < 1048576"""
-)
+_TENTHS = "printf('%.1f ', floor(size_bytes / {0} * 10 + 0.5) / 10)"
+_UNITS = " ".join(f"WHEN size_bytes < {1024 ** (p + 1)} THEN {_TENTHS.format(f'{1024.0**p:.1f}')} || '{u}'" for p, u in enumerate(("KB", "MB", "GB", "TB"), 1))
+
+
+@register(f"SELECT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' {_UNITS} ELSE {_TENTHS.format(f'{1024.0**5:.1f}')} || 'PB' END AS shown FROM {DOCS}")
 def display_bytes(spark, sf_dir):
     return T.documents(spark, sf_dir).select("path", X.human_bytes(F.col("size_bytes")).alias("shown"))
 
 
+@register(
+    f"""SELECT path, CASE WHEN age < 86400 THEN 'today' WHEN age < 604800 THEN 'week' ELSE 'older' END AS bucket
+    FROM (SELECT path, epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(mtime) AS age FROM {EVENTS})"""
+)
+def recency_buckets(spark, sf_dir):
+    age = F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_micros(F.col("mtime").cast("timestamp")) / 1e6
+    return T.events(spark, sf_dir).select("path", X.recency(age).alias("bucket"))
+
+
+@register(f"SELECT path FROM {EVENTS} WHERE category IN ('click', 'other') ORDER BY path LIMIT 5000000")
+def active_listing(spark, sf_dir):
+    """The full list of the categories that are switched on."""
+    return search.listing(search.active(T.events(spark, sf_dir), ["click", "other"])).select("path")
+
+
+@register("""SELECT page_id, replace(replace(replace(html, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS embedded FROM pages""")
+def embedded_pages(spark, sf_dir):
+    return T.read(spark, sf_dir, "pages").select("page_id", X.embeddable(F.col("html")).alias("embedded"))
+
+
 # Streams as batches over event logs
 
 
