@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions import text as X
 from ..operators import delta, digest, expand, facets, journal, lineage, rank, search, tree, upkeep
+from ..checkpoint import cut, shared_folder
+from ..sources import catalogue, extract
 from ..sources import tables as T
+from ..sources import tree as sources_tree
 from ..sources.catalogue import lean
-from ..streaming import live
+from ..streaming import live, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -860,9 +864,104 @@ def embedded_pages(spark, sf_dir):
     return T.read(spark, sf_dir, "pages").select("page_id", X.embeddable(F.col("html")).alias("embedded"))
 
 
+# Sources and sinks: `part` as a tree of files, a manifest and a store, in the folder that the executors share
+
+_FILE = """p_brand || '/' || p_type || '/part_' || p_partkey || '.' || ext"""
+_FILES = """(SELECT *, CASE ext WHEN 'csv' THEN 'k,name' || repeat(',x', p_size % 7) || chr(10) || '1,2' || chr(10) WHEN 'json' THEN '{"key' || p_partkey || '":[1]}'
+      WHEN 'md' THEN '# Part ' || p_partkey || chr(10) || chr(10) || 'See [it](x.csv).' || chr(10) WHEN 'py' THEN 'def part_' || p_partkey || '(): pass' || chr(10) ELSE 'plain' END AS content
+    FROM (SELECT *, list_extract(['csv', 'json', 'md', 'py', 'log'], CAST(p_size % 5 + 1 AS INT)) AS ext FROM part))"""
+
+
+def _tree_of_parts(spark, sf_dir) -> str:
+    """A tree with a file for each part, written by the tasks; its folder."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    ext = F.element_at(F.array(*map(F.lit, ("csv", "json", "md", "py", "log"))), (size % 5 + 1).cast("int"))
+    texts = {
+        "csv": F.concat(F.lit("k,name"), F.repeat(F.lit(",x"), (size % 7).cast("int")), F.lit("\n1,2\n")), "json": F.concat(F.lit('{"key'), key, F.lit('":[1]}')),
+        "md": F.concat(F.lit("# Part "), key, F.lit("\n\nSee [it](x.csv).\n")), "py": F.concat(F.lit("def part_"), key, F.lit("(): pass\n")), "log": F.lit("plain"),
+    }
+    content = F.coalesce(*(F.when(F.col("ext") == e, t) for e, t in texts.items()))
+    rows = T.read(spark, sf_dir, "part").withColumn("ext", ext).withColumn("content", content)
+    path = F.concat_ws("/", "p_brand", "p_type", F.concat(F.lit("part_"), key, F.lit("."), "ext"))
+    root = shared_folder(spark, "tree").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for name, text in zip(batch["path"], batch["content"]):
+                os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+                with open(f"{root}/{name}", "w", encoding="utf-8") as file:
+                    file.write(text)
+            yield batch[["path"]]
+
+    rows.select(path.alias("path"), "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@register(f"SELECT {_FILE} AS path, CAST(strlen(content) AS BIGINT) AS size_bytes, ext, false AS is_symlink FROM {_FILES}")
+def walk_tree(spark, sf_dir):
+    """A file for each part, found again by a walk in rounds."""
+    return sources_tree.walk(spark, _tree_of_parts(spark, sf_dir)).select("path", "size_bytes", "ext", "is_symlink")
+
+
+@register(
+    f"""SELECT {_FILE} AS path, CASE ext WHEN 'csv' THEN CAST(p_size % 7 + 2 AS VARCHAR) WHEN 'json' THEN 'key' || p_partkey WHEN 'md' THEN 'Part ' || p_partkey
+      WHEN 'py' THEN 'part_' || p_partkey END AS detail FROM {_FILES}"""
+)
+def describe_tree(spark, sf_dir):
+    """What the readers find in each of these files."""
+    root = _tree_of_parts(spark, sf_dir)
+    found = extract.describe(sources_tree.walk(spark, root), root)
+    at = {"csv": "$.n_columns", "json": "$.top_level_keys[0]", "md": "$.h1_title", "py": "$.defs[0]"}
+    detail = F.coalesce(*(F.when(F.col("ext") == e, F.get_json_object("meta", p)) for e, p in at.items()))
+    return found.select("path", detail.alias("detail"))
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    rows = T.parts(spark, sf_dir)
+    none = {"is_symlink": F.lit(False), "symlink_target": F.lit(None).cast("string"), "symlink_ok": F.lit(None).cast("boolean"), "error": F.lit(None).cast("string")}
+    return rows.withColumns(none)
+
+
+@register(f"SELECT path, category, ext, size_bytes, strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') AS mtime_iso, extractor, meta FROM {PART}")
+def manifest_roundtrip(spark, sf_dir):
+    """Written as one document and read again by ranges."""
+    path = f"{shared_folder(spark, 'manifest')}/INDEX.json"
+    catalogue.write_index(_entries(spark, sf_dir), "-", path)
+    return catalogue.read_index(spark, path).select("path", "category", "ext", "size_bytes", "mtime_iso", "extractor", "meta")
+
+
+@register(f"SELECT path, CASE WHEN starts_with(path, 'Brand#1') THEN size_bytes + 1000 ELSE size_bytes END AS size_bytes FROM {PART} WHERE NOT (starts_with(path, 'Brand#1') AND size_bytes % 3 = 0)")
+def store_update(spark, sf_dir):
+    """A store of many segments after the folders of ten brands were looked at again: some rows gone, the others changed."""
+    rows = cut(T.parts(spark, sf_dir).select("path", "size_bytes"))
+    store = catalogue.Store(spark, shared_folder(spark, "store"), segment_rows=max(100, rows.count() // 40))
+    store.publish(rows)
+    marks = [(r[0], True) for r in rows.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("b")).where("b like 'Brand#1%'").distinct().collect()]
+    held = store.touched(marks)
+    inside = live.at_or_below(F.col("path"), [m for m, _ in marks])
+    found = rows.where(inside & (F.col("size_bytes") % 3 != 0)).withColumn("size_bytes", F.col("size_bytes") + 1000)
+    store.publish(live.reconcile(store.read(only=held), [m for m, _ in marks], found), only=held)
+    return store.read()
+
+
 # Streams as batches over event logs
 
 
+@register(
+    """WITH e AS (SELECT event_id, event_id // 50 AS s, event_id % 50 AS k FROM events),
+    b AS (SELECT *, (k - min(k) OVER (PARTITION BY s)) // 20 AS b FROM e),
+    t AS (SELECT event_id, s, min(k) OVER (PARTITION BY s, b) * 100 AS first, max(k) OVER (PARTITION BY s, b) * 100 AS last FROM b)
+    SELECT event_id, make_timestamp(CAST((s * 60000 + least(last + 300, first + 2000)) * 1000 AS BIGINT)) AS drain_at FROM t"""
+)
+def held_events(spark, sf_dir):
+    """Five seconds of events in each minute, never quiet: each is due when its burst has lasted two seconds, or is quiet."""
+    n = F.col("event_id")
+    ms = F.floor(n / 50) * 60_000 + n % 50 * 100
+    events = T.read(spark, sf_dir, "events").select(F.timestamp_millis(ms).alias("ts"), F.concat(F.lit("all/"), n.cast("string")).alias("path"), F.lit(False).alias("recursive"))
+    due = timers.drain_times(timers.as_log(events))
+    return due.select(F.substring_index("path", "/", -1).cast("long").alias("event_id"), F.col("drain_at").cast("timestamp_ntz").alias("drain_at"))
+
+
 @register(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)

@@ -216,15 +216,38 @@ def capped_bursts(times: Column) -> Column:
     return F.aggregate(times, F.array().cast("array<struct<first:bigint,last:bigint>>"), step)
 
 
+#: Events of one key and so long a time are looked at by one task.
+BLOCK_MS = 600_000
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    """`events` (shard, ms, ..) with `run`: when the run of events began that lie less than QUIET_MS apart.
+
+    Only events of one block of time meet in a task; from block to block go its last event and the last beginning of a run.
+    """
+    within = Window.partitionBy("shard", "block").orderBy("ms")
+    placed = events.withColumn("block", F.floor(F.col("ms") / BLOCK_MS))
+    blocks = placed.groupBy("shard", "block").agg(F.max("ms").alias("last"))
+    earlier = Window.partitionBy("shard").orderBy("block")  # a row a block
+    blocks = blocks.withColumn("before", F.lag("last").over(earlier)).drop("last")
+    gaps = placed.join(blocks, ["shard", "block"]).withColumn("gap", F.col("ms") - F.coalesce(F.lag("ms").over(within), F.col("before")))
+    begun = gaps.withColumn("begins", F.when(F.coalesce(F.col("gap") >= QUIET_MS, F.lit(True)), F.col("ms"))).drop("gap", "before")
+    carried = begun.groupBy("shard", "block").agg(F.max("begins").alias("own"))
+    carried = carried.withColumn("carried", F.last("own", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1))).drop("own")
+    own = F.max("begins").over(within.rangeBetween(Window.unboundedPreceding, 0))
+    return begun.join(carried, ["shard", "block"]).withColumn("run", F.coalesce(own, F.col("carried"))).drop("begins", "carried", "block")
+
+
 def drain_times(log: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(path, recursive, ts, drain_at) of every event of a log without pauses: the same times as `hold` gives, as a batch."""
+    """(path, recursive, ts, drain_at) of every event of a log without pauses: the same times as `hold` gives, as a batch.
+
+    Of a run without a pause the distinct milliseconds are one row, since where one burst ends decides where the next begins.
+    """
     events = log.where("kind = 'event'").select("ts", "path", "recursive")
     parted = owned_until(events, owners_of(log))
     owned = parted.where("__until is not null").select("path", "recursive", "ts", F.col("__until").alias("drain_at"))
     free = sharded(as_log(parted.where("__until is null")), shards).select("shard", "path", "recursive", "ts", F.unix_millis("ts").alias("ms"))
-    order = Window.partitionBy("shard").orderBy("ms")
-    new = F.coalesce(F.col("ms") - F.lag("ms").over(order) >= QUIET_MS, F.lit(True))
-    runs = free.withColumn("__new", new.cast("int")).withColumn("run", F.sum("__new").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("__new")
+    runs = _runs(free)
     spans = runs.groupBy("shard", "run").agg(F.array_sort(F.collect_set("ms")).alias("times"))
     spans = spans.select("shard", "run", F.inline(capped_bursts(F.col("times"))))
     timed = runs.join(spans, ["shard", "run"]).where("ms between first and last")
