@@ -1,7 +1,15 @@
+import random
 import sys
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
+import pytest
+import test_linededup
+import test_mixing
+import test_packing
+import test_quality_zstd
+import test_simhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as pipeline  # noqa: E402
@@ -76,3 +84,63 @@ def test_stages_take_odd_rows(spark, data):
     assert outs["packing"].where("start = 0").count() == len(rows)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def small_corpus(seeded):
+    """Sixty documents of three sources: good and bad ones, lines and whole texts that repeat exactly and nearly, an empty and a null text."""
+    word = lambda: "".join(seeded.choice("etaoinshr") for _ in range(seeded.randrange(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared, docs, labels = [line(14) for _ in range(3)], [], []
+    for i in range(60):
+        lines = [line(seeded.randrange(12, 18)) for _ in range(seeded.randrange(2, 7))]
+        if i % 4 == 0:
+            lines.insert(1, seeded.choice(shared))
+        if i % 6 == 1:
+            lines.append(seeded.choice(shared)[:-1] + "z")
+        if i % 9 == 2 and docs:
+            lines = docs[-1][1].split("\n") if seeded.random() < 0.5 else [x + " more" for x in docs[-1][1].split("\n")]
+        bad = i % 5 == 3
+        docs.append((i * 7, "\n".join(x.upper() + "!!" if bad else x for x in lines), "en", seeded.choice(["a", "b", None]), 0))
+        labels.append((i * 7, int(not bad)))
+    docs[17], docs[31] = (17 * 7, "", "en", "a", 0), (31 * 7, None, None, "b", None)
+    return docs, labels
+
+
+def test_the_whole_pipeline_against_plain_loops(spark, tmp_path):
+    docs, labels = small_corpus(random.Random(14))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = pipeline.run(spark, str(tmp_path)).collect()
+
+    table = load(spark, str(tmp_path), "documents")
+    model = quality_zstd.fit(table.where(~learning_share("doc_id", 5, 0)), load(spark, str(tmp_path), "labels"))
+    kept = [d for d in docs if test_quality_zstd.plain_score(model, d[1]) >= 0.3]
+    assert 30 < len(kept) < 60
+    lines = dict(test_linededup.brute(kept))
+    assert sum(len(t or "") for t in lines.values()) < sum(len(d[1] or "") for d in kept)
+    near = {doc: least for doc, _, least in test_simhash.brute([(d[0], lines[d[0]]) for d in kept])}
+    left = [d for d in kept if near[d[0]] == d[0]]
+    assert len(left) < len(kept)
+    size = {d[0]: len((lines[d[0]] or "").split()) for d in left}
+    sizes = defaultdict(int)
+    for d in left:
+        sizes[d[3]] += size[d[0]]
+    target = test_mixing.water(sizes)
+
+    copies = Counter(p.doc_id for p in pieces if p.start == 0)
+    taken = defaultdict(int)
+    for d in left:
+        taken[d[3]] += copies[d[0]] * size[d[0]]
+    assert set(copies) <= set(size) and all(n <= 2 for d, n in copies.items() if size[d])
+    for source in sizes:
+        assert taken[source] == pytest.approx(target[source], abs=max(size.values()))
+    ids = {doc: len(test_packing.reference(lines[doc])) for doc in copies}
+    held = Counter()
+    for p in pieces:
+        assert p.doc_tokens == ids[p.doc_id]
+        held[p.doc_id] += p.length
+    assert held == {doc: copies[doc] * n for doc, n in ids.items()}
+    sequences = defaultdict(int)
+    for p in pieces:
+        sequences[p.sequence_id] += p.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
