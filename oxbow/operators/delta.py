@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.meta import canonical_json
 from ..functions.text import is_under
 
+_JSON_START = r"^\s*[\[{\"\-0-9tfnIN]"
 DRIFT_FIELDS = ["size_bytes", "extractor", "meta"]
 VIEW_FIELDS = ["size_bytes", "mtime", "extractor", "meta", "is_symlink", "symlink_target", "symlink_ok"]
 
@@ -28,8 +29,11 @@ def diff(old: DataFrame, new: DataFrame, fields: list[str] = DRIFT_FIELDS, key:
     if "meta" not in fields:
         return both.select(key, change.alias("change")).where("change is not null")
     marked = both.select(key, change.alias("change"), F.col("a.meta").alias("x"), F.col("b.meta").alias("y"))
-    sure = marked.where("change is not null").select(key, "change")
-    unsure = marked.where("change is null and not x <=> y")
+    # Only two texts that may both be JSON can be equal values without being equal texts.
+    json_like = F.coalesce(F.col("x").rlike(_JSON_START) & F.col("y").rlike(_JSON_START), F.lit(False))
+    differ = F.when(~F.col("x").eqNullSafe(F.col("y")) & ~json_like, "changed")
+    sure = marked.select(key, F.coalesce("change", differ).alias("change")).where("change is not null")
+    unsure = marked.where(F.col("change").isNull() & ~F.col("x").eqNullSafe(F.col("y")) & json_like)
     changed = unsure.where(~canonical_json(F.col("x")).eqNullSafe(canonical_json(F.col("y"))))
     return sure.unionByName(changed.select(key, F.lit("changed").alias("change")))
 

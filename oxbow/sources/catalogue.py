@@ -105,13 +105,14 @@ def read_index(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     return parsed.select(*_fields())
 
 
-# Metadata lists that a lean row cuts.
+# Items and characters that a lean row keeps, and metadata lists that it cuts.
+LEAN_ITEMS, LEAN_PARAGRAPH = 48, 600
 LONG_LISTS = (
     "columns", "defs", "classes", "imports", "uns_keys", "layers", "obsp", "varm", "members", "datasets", "outbound_refs", "top_level_keys",
 )
 
 
-def lean(catalog: DataFrame, most: int = 48, keys: tuple[str, ...] = LONG_LISTS, paragraph: int = 600) -> DataFrame:
+def lean(catalog: DataFrame, most: int = LEAN_ITEMS, keys: tuple[str, ...] = LONG_LISTS, paragraph: int = LEAN_PARAGRAPH) -> DataFrame:
     """(path, <key>, n_<key>_total, first_paragraph): long lists of the metadata cut to `most` items, with how many there are where some
     were cut, and a paragraph cut to `paragraph` characters and an ellipsis. Figure labels are left out."""
     lists = {k: M.strings_at(F.col("meta"), k) for k in keys}
