@@ -66,31 +66,23 @@ def render(messages: DataFrame) -> DataFrame:
     head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(SEPARATOR + "\n"))
     body = escape(F.coalesce("text", F.lit("")))
     pieces = messages.select("conv_id", "turn", "role", head.alias("head"), body.alias("body"))
+    piece = F.concat("head", "body", F.lit("\n" + CLOSE))
+    loss = F.coalesce(F.col("role") == LOSS_ROLE, F.lit(False))
+    columns = ["turn", "piece", "before", "length", "loss"]
     pieces = pieces.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.concat("head", "body", F.lit("\n" + CLOSE)).alias("piece"),
-            F.char_length("head").alias("before"),
-            F.char_length("body").alias("length"),
-            F.coalesce(F.col("role") == LOSS_ROLE, F.lit(False)).alias("loss"),
-        ).alias("m"),
+        "conv_id", "turn", piece.alias("piece"), F.char_length("head").alias("before"), F.char_length("body").alias("length"), loss.alias("loss")
     )
-    grouped = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(state: Column, m: Column) -> Column:
-        span = F.array(F.struct((state["at"] + m["before"]).alias("start"), m["length"].alias("length")))
-        return F.struct(
-            (state["at"] + F.char_length(m["piece"])).alias("at"),
-            F.when(m["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
-
+    # A message begins where those before it end: a running sum, so that long conversations cost no more than their length.
+    ahead = Window.partitionBy("conv_id").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum(F.char_length("piece")).over(ahead), F.lit(0)).cast("int")
+    placed = pieces.select("conv_id", F.struct(*columns, begins.alias("at")).alias("m"))
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("ms", lambda m: m["piece"]), "").alias("formatted"),
-        F.aggregate("ms", start, step, lambda s: s["spans"]).alias("loss_spans"),
+        F.transform(
+            F.filter("ms", lambda m: m["loss"]), lambda m: F.struct((m["at"] + m["before"]).alias("start"), m["length"].alias("length"))
+        ).alias("loss_spans"),
     )
 
 
@@ -100,7 +92,10 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_texts) parsed from the formatted text and its spans: turns (role, text), texts under the mask."""
+    """(conv_id, formatted, turns, loss_texts) parsed from the formatted text and its spans: turns (role, text), texts under the mask.
+
+    One row of `formatted` for each conversation, as `render` gives them.
+    """
     bodies = F.filter(F.split("formatted", "\\Q\n" + CLOSE + "\\E"), lambda t: t != "")
 
     def turn(piece: Column) -> Column:
@@ -110,9 +105,32 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = lambda f: F.substring(f["p"], f["at"] + len(SEPARATOR) + 1, F.char_length(f["p"]))
         return F.transform(found, lambda f: F.struct(unescape(role(f)).alias("role"), unescape(text(f)).alias("text")))[0]
 
-    cut = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
-    return formatted.select(
-        "conv_id", "formatted", F.transform(bodies, turn).alias("turns"), F.transform(cut, unescape).alias("loss_texts")
+    # Each span is cut from the piece that it lies in, found by an ordered pass over both, not from the start of the whole text.
+    none = lambda kind: F.lit(None).cast(kind)
+    pieces = F.transform(
+        bodies,
+        lambda body, nth: F.struct(nth.alias("nth"), F.concat(body, F.lit("\n" + CLOSE)).alias("piece"), none("bigint").alias("start"), none("int").alias("length")),
+    )
+    spans = F.transform(
+        "loss_spans", lambda s: F.struct(none("int").alias("nth"), none("string").alias("piece"), s["start"].cast("long").alias("start"), s["length"].alias("length"))
+    )
+    rows = formatted.select("conv_id", F.inline_outer(F.concat(pieces, spans)))
+    ahead = Window.partitionBy("conv_id").orderBy(F.col("nth").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("piece").isNotNull(), F.coalesce(F.sum(F.char_length("piece")).over(ahead), F.lit(0))).otherwise(F.col("start"))
+    rows = rows.withColumn("at", at)
+    order = Window.partitionBy("conv_id").orderBy("at", F.col("length").asc_nulls_first(), "nth")
+    held = F.last(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")), ignorenulls=True).over(order)
+    text = F.substring(F.col("held.piece"), (F.col("at") - F.col("held.at") + 1).cast("int"), F.col("length"))
+    listed = rows.withColumn("held", held).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("nth", "piece")))).alias("pieces"),
+        F.array_sort(F.collect_list(F.when(F.col("length").isNotNull(), F.struct("at", unescape(text).alias("text"))))).alias("said"),
+    )
+    body = lambda p: F.substring(p["piece"], F.lit(1), F.char_length(p["piece"]) - len("\n" + CLOSE))
+    return listed.select(
+        "conv_id",
+        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"),
+        F.transform("pieces", lambda p: turn(body(p))).alias("turns"),
+        F.transform("said", lambda s: s["text"]).alias("loss_texts"),
     )
 
 

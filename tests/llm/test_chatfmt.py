@@ -67,3 +67,22 @@ def test_small_logs(spark):
     assert found[None].n_turns == 1 and found[1].n_turns == 2 and found[1].loss_chars == 2
     long = [(5, i, i, "delta", "assistant", "<" * 50, "", "") for i in range(3000)]
     assert chatfmt.digest(chatfmt.format_conversations(spark.createDataFrame(long, SCHEMA))).first().loss_chars == 150_000
+
+
+def test_long_conversations_cost_their_length(spark):
+    """Eight times the turns, in one conversation, take less than thirty times as long; a span never leaves its own text."""
+    import time
+
+    def run(turns):
+        rows = [(5, i, i, "delta", ("user", "assistant")[i % 2], f"é{i}<" * 20, "", "") for i in range(turns)]
+        events = spark.createDataFrame(rows, SCHEMA).cache()
+        events.count()
+        began = time.time()
+        row = chatfmt.read_back(chatfmt.format_conversations(events)).first()
+        spent = time.time() - began
+        assert row.loss_texts == [f"é{i}<" * 20 for i in range(1, turns, 2)] and len(row.turns) == turns
+        return spent
+
+    run(100)
+    few, many = run(2_500), run(20_000)
+    assert many < 30 * few
