@@ -287,6 +287,22 @@ def tree_rows_with_tier3(spark, sf_dir):
     return rank.tree_rows(docs, search.parse("cat:de src1", "ui"), elsewhere).select("path")
 
 
+@register(
+    f"""WITH hits AS (SELECT path, length({NAME}) AS l FROM {_DIRS.format(DOCS)} WHERE contains({FOLD.format(NAME)}, 'src1') ORDER BY l, path LIMIT 3),
+    f AS (SELECT path, size_bytes, CASE WHEN contains({FOLD.format("path")}, 'src1') THEN 2 WHEN size_bytes % 5 = 0 THEN 3 END AS tier FROM {DOCS} WHERE path IS NOT NULL),
+    u AS (SELECT path, true AS is_folder, 0 AS tier, row_number() OVER (ORDER BY l, path) AS pos FROM hits
+      UNION ALL SELECT path, false, tier, row_number() OVER (ORDER BY tier, size_bytes DESC, path) FROM f WHERE tier IS NOT NULL)
+    SELECT CAST(row_number() OVER (ORDER BY is_folder DESC, pos) AS INTEGER) AS rank, path, is_folder, CAST(tier AS INTEGER) AS tier FROM u
+    QUALIFY row_number() OVER (ORDER BY is_folder DESC, pos) <= 250"""
+)
+def band_folders_and_tiers(spark, sf_dir):
+    """A band of 250 with folders on top, then files whose path holds the word, then files that were found elsewhere."""
+    docs = T.documents(spark, sf_dir)
+    elsewhere = docs.where("size_bytes % 5 = 0").select("path")
+    found = rank.top_hits(docs, search.parse("src1", "ui"), tree.directories(docs), elsewhere, "largest", 250)
+    return found.select("rank", "path", "is_folder", F.col("tier").cast("int").alias("tier"))
+
+
 # Pages, children, counts
 
 

@@ -174,16 +174,17 @@ class Store:
         segments = self.entry(generation)["segments"]
         return root_digest(sum(s.rows for s in segments), add(s.content for s in segments))
 
-    def differing(self, current: DataFrame) -> tuple[list[int], DataFrame]:
+    def differing(self, current: DataFrame, only: list[int] | None = None) -> tuple[list[int], DataFrame]:
         """(positions of the segments whose content or broken links differ from a fresh look, the rows of the look that lie in these).
 
-        Only digests are compared: nothing of the store but its last record is read.
+        With `only` the look is at the ranges of those segments. Only digests are compared: nothing of the store but its last record is read.
         """
         segments = self.entry()["segments"]
         lows = [s.low for s in segments] or [""]
         placed = current.withColumn("__at", segment_index(F.col("path"), lows))
         fresh = {r["__at"]: r for r in summarise(placed, ["__at"]).collect()}  # a row a segment
-        differ = [i for i in range(len(lows)) if _summary(segments[i] if segments else None) != _summary(fresh.get(i))]
+        asked = range(len(lows)) if only is None else only
+        differ = [i for i in asked if _summary(segments[i] if segments else None) != _summary(fresh.get(i))]
         rows = placed.where(F.col("__at").isin(differ)) if differ else placed.limit(0)
         return differ, rows.drop("__at")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..checkpoint import cut
 from ..functions.text import ancestors
 from ..operators.delta import upsert
 from ..sources.tree import PRUNED, SKIPPED_NAMES
@@ -103,7 +104,7 @@ def follow(
     must raise where something can not be read: the batch then fails and is tried again, rather than emptying the catalogue. One query
     per checkpoint is the single writer.
 
-    A batch reads and writes the segments that hold its marks, which the store's record tells, and no others. More than `most` marks
+    A batch reads the segments that hold its marks, which the store's record tells, and writes those of them that have changed. More than `most` marks
     become one of the root, so marks can pass the driver.
     """
     spark = events.sparkSession
@@ -114,17 +115,19 @@ def follow(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         marks = subsume(batch.where(~excluded(F.col("path"))).select("path", "recursive"))
-        rows = [(r["path"], r["recursive"]) for r in marks.limit(most + 1).collect()]
-        if not rows:
+        dirty = [(r["path"], r["recursive"]) for r in marks.limit(most + 1).collect()]
+        if not dirty:
             return
-        if len(rows) > most:
-            rows = [("", True)]
-        paths = [p for p, _ in rows]
-        segments = store.touched(rows)
+        if len(dirty) > most:
+            dirty = [("", True)]
+        paths = [p for p, _ in dirty]
+        segments = store.touched(dirty)
         held = store.read(only=segments)
-        found = look(spark.createDataFrame(rows, "path string, recursive boolean"))
-        after = reconcile(held, paths, found)
-        store.publish(after, generation=batch_id, only=segments)
+        found = look(spark.createDataFrame(dirty, "path string, recursive boolean"))
+        after = cut(reconcile(held, paths, found))
+        differ, rows = store.differing(after, segments or None)
+        if differ:  # hints that turn out to be nothing publish nothing
+            store.publish(rows, generation=batch_id, only=differ)
 
     writer = events.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": LONGEST})).start()

@@ -90,6 +90,10 @@ def test_only_touched_segments_are_read_and_written(spark, tmp_path):
     (inbox / "2.json").write_text(json.dumps({"path": "d2", "recursive": True}))
     live.follow(stream, store, at_marks(spark, disk), str(tmp_path / "cp"), {"availableNow": True}, "b").awaitTermination()
     assert rows_of(store) == disk and "d1-x" in disk
+    generation = store.generation()
+    (inbox / "3.json").write_text(json.dumps({"path": "d1/001", "recursive": False}))
+    live.follow(stream, store, at_marks(spark, disk), str(tmp_path / "cp"), {"availableNow": True}, "b").awaitTermination()
+    assert store.generation() == generation  # a hint, but nothing had changed
     marks, found = ["d1/.git"], spark.createDataFrame([("d1/.git/x", 1), ("elsewhere", 2)], SCHEMA)
     assert live.reconcile(store.read(), marks, found).where("path in ('d1/.git/x', 'elsewhere')").isEmpty()  # excluded, and not below a mark
 
